@@ -60,7 +60,139 @@ WHERE rank <= 20
 @register("bm25_documents", BM25_SQL)
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top 20 documents for every benchmark question."""
-    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = tables.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     qs = tables.benchmark_questions(spark, sf_dir)
     hits = search.bm25_search(docs, qs, 20, opts=DEFAULTS)
     return hits.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+# ------------------------------------------------------------------------------------------ E3 flagship: answers
+
+def chunk_table(spark: SparkSession, sf_dir: str, opts=None):
+    """Chunk table over ``documents`` (fixed windows unless opts say otherwise), materialised in the checkpoint
+    folder because retrieval reads it several times."""
+    from ..operators.chunks import build_chunk_table
+    opts = opts or SQL_CHUNKING
+    return build_chunk_table(tables.document_files(spark, sf_dir), opts).checkpoint()
+
+
+# The SQL-checked queries use the separator-free splitter (fixed windows of 512 with overlap 50), the form SQL can
+# express; the recursive splitter is checked by invariants (tests) and by its own rows-only query.
+SQL_CHUNKING = DEFAULTS.with_(separators=("",))
+
+SQL_BLANK = r"(text IS NULL OR length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) = 0)"
+
+SQL_CHUNKS = rf"""
+docs AS (SELECT doc_id, '/' || source || '/doc_' || doc_id::VARCHAR || '.txt' AS file_path, text
+         FROM documents WHERE NOT {SQL_BLANK}),
+ch0 AS (SELECT file_path, text,
+               unnest(range(0, (1 + ceil(greatest(length(text) - 512, 0) / 462.0))::BIGINT)) AS i FROM docs),
+ch AS (SELECT sha256(file_path || '|' || i::VARCHAR || '|' || substring(text, (i * 462 + 1)::BIGINT, 512)) AS id,
+              substring(text, (i * 462 + 1)::BIGINT, 512) AS chunk_text, file_path, i::BIGINT AS chunk_index
+       FROM ch0)"""
+
+
+def sql_hash_embed(src: str, key: str, text: str, dim: int, name: str) -> str:
+    """CTEs ``{name}`` (key, vec DOUBLE[dim]) of the hashed embedding: same tokens, md5 buckets and signs, float32
+    rounding of the normalised values, null (no row) for texts without tokens."""
+    return rf"""
+{name}_t AS (SELECT {key} AS k, unnest({sql_tokens(text)}) AS t FROM {src}),
+{name}_b AS (SELECT k, (('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS b,
+                    CASE WHEN (('0x' || substr(md5(t), 9, 1))::INT % 2) = 0 THEN 1 ELSE -1 END AS s FROM {name}_t),
+{name}_v AS (SELECT k, b, sum(s)::DOUBLE AS v FROM {name}_b GROUP BY k, b),
+{name}_n AS (SELECT k, sqrt(sum(v * v)) AS nrm FROM {name}_v GROUP BY k HAVING sqrt(sum(v * v)) > 0),
+{name}_g AS (SELECT n.k, g.b, coalesce((v.v / n.nrm)::FLOAT::DOUBLE, 0.0) AS x
+             FROM {name}_n n CROSS JOIN range(0, {dim}) g(b) LEFT JOIN {name}_v v ON v.k = n.k AND v.b = g.b),
+{name} AS (SELECT k, list(x ORDER BY b) AS vec FROM {name}_g GROUP BY k)"""
+
+
+SQL_CLEAN = r"trim(regexp_replace(regexp_replace({x}, '[ \t\n\x0B\f\r]+', ' ', 'g'), '\.{{4,}}', '...', 'g'))"
+
+
+def sql_clean(x: str) -> str:
+    return SQL_CLEAN.format(x=x)
+
+
+RAG_SQL = rf"""
+WITH {SQL_CHUNKS},
+qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark),
+{sql_hash_embed('ch', 'id', 'chunk_text', 256, 'cv')},
+{sql_hash_embed('qs', 'query_id', 'query_text', 256, 'qv')},
+vd AS (SELECT q.k AS query_id, c.k AS id, round(list_distance(q.vec, c.vec), 6) AS distance
+       FROM qv q CROSS JOIN cv c),
+vh AS (SELECT query_id, id, distance,
+              row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vd),
+cdoc AS (SELECT id, {sql_tokens('chunk_text')} AS t FROM ch),
+st AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avgdl FROM cdoc),
+post AS (SELECT id, dl, term, count(*) AS tf
+         FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM cdoc) GROUP BY id, dl, term),
+qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({sql_tokens('query_text')}) AS term FROM qs)),
+dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
+fsc AS (SELECT q.query_id, p.id,
+               round(sum(ln(1.0::DOUBLE + (st.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE))
+                         * p.tf * 2.2::DOUBLE
+                         / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / st.avgdl))), 6) AS score
+        FROM qt q JOIN post p ON p.term = q.term JOIN dfs d ON d.term = q.term CROSS JOIN st
+        GROUP BY q.query_id, p.id),
+fh AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fsc),
+hits AS (SELECT query_id, id, rank, distance, (0 * 100000 + rank)::BIGINT AS seq FROM vh WHERE rank <= 20
+         UNION ALL
+         SELECT query_id, id, rank, 0.1::DOUBLE + 0.05::DOUBLE * (rank - 1), (1 * 100000 + rank)::BIGINT
+         FROM fh WHERE rank <= 20),
+fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (20.0::DOUBLE + 100.0::DOUBLE * distance)) AS score,
+                 min(seq) AS seq, arg_min(distance, seq) AS distance FROM hits GROUP BY query_id, id),
+ranked AS (SELECT f.*, c.chunk_text, c.file_path, c.chunk_index,
+                  row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.score, 9) DESC, f.seq, f.id) AS pos
+           FROM fused f JOIN ch c ON c.id = f.id),
+ctx AS (SELECT * FROM ranked WHERE pos <= 3),
+grp AS (SELECT query_id, coalesce(file_path, 'unknown') AS src, min(pos) AS fpos,
+               string_agg(CASE WHEN coalesce(chunk_text, '') <> '' THEN chunk_text END, ' ... ' ORDER BY pos) AS j
+        FROM ctx GROUP BY 1, 2),
+parts AS (SELECT query_id, fpos, 'Source: ' || regexp_extract(src, '([^/]*)/*$', 1) || chr(10)
+                 || {sql_clean("coalesce(j, '')")} AS part FROM grp),
+packed0 AS (SELECT query_id,
+                   string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY fpos) AS full
+            FROM parts GROUP BY query_id),
+sl AS (SELECT p.query_id, q.query_text,
+              list_filter(string_split(regexp_replace(p.full, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'),
+                                       chr(1)), lambda s: s <> '') AS l
+       FROM packed0 p JOIN qs q USING (query_id) WHERE length(p.full) > 8000),
+sents AS (SELECT query_id, query_text, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM sl),
+scored AS (SELECT query_id, s, pos,
+                  len(list_filter(list_filter(string_split_regex(lower(query_text), '[^a-zA-Z0-9_]+'),
+                                              lambda t: length(t) >= 3), lambda t: contains(lower(s), t))) AS score
+           FROM sents),
+run AS (SELECT *, sum(length(s)) OVER (PARTITION BY query_id ORDER BY score DESC, pos
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM scored),
+trimmed AS (SELECT query_id, string_agg(s, ' ' ORDER BY score DESC, pos) AS t FROM run WHERE total <= 8000
+            GROUP BY query_id),
+packed AS (SELECT p.query_id, CASE WHEN length(p.full) > 8000 THEN coalesce(t.t, '') ELSE p.full END AS context
+           FROM packed0 p LEFT JOIN trimmed t USING (query_id)),
+srcs AS (SELECT query_id, string_agg(file_path || '#' || chunk_index::VARCHAR, ';' ORDER BY pos) AS sources,
+                count(*) AS n_sources FROM ctx WHERE file_path IS NOT NULL GROUP BY query_id),
+conf AS (SELECT query_id, round(greatest(1.0 - avg(distance) / 2.0, 0.0) * 100.0, 1) AS confidence
+         FROM ranked WHERE pos <= 3 GROUP BY query_id),
+cst AS (SELECT query_id, count(*) AS n_candidates, count(DISTINCT file_path) AS unique_sources
+        FROM ranked GROUP BY query_id)
+SELECT q.query_id, q.query_text AS query, q.query_text AS clarified,
+       CASE WHEN coalesce(c.n_candidates, 0) > 0
+            THEN 'Based on the retrieved information:' || chr(10) || chr(10)
+                 || substring(coalesce(p.context, ''), 1, 501) || '...'
+            ELSE 'No relevant documents found in the database.' END AS answer,
+       CASE WHEN coalesce(c.n_candidates, 0) > 0 THEN coalesce(s.sources, '') ELSE '' END AS sources,
+       coalesce(s.n_sources, 0)::BIGINT AS n_sources,
+       coalesce(f.confidence, 0.0)::DOUBLE AS confidence,
+       coalesce(c.n_candidates, 0)::BIGINT AS n_candidates,
+       coalesce(c.unique_sources, 0)::BIGINT AS unique_sources,
+       1::BIGINT AS n_sub_queries
+FROM qs q LEFT JOIN packed p USING (query_id) LEFT JOIN srcs s USING (query_id)
+     LEFT JOIN conf f USING (query_id) LEFT JOIN cst c USING (query_id)
+"""
+
+
+@register("rag_answers", RAG_SQL)
+def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer every benchmark question (rewriting fallback, hybrid retrieval, fusion, packing, answer)."""
+    from .query import answer_questions
+    chunks = chunk_table(spark, sf_dir, SQL_CHUNKING)
+    return answer_questions(chunks, tables.benchmark_questions(spark, sf_dir), SQL_CHUNKING)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..util import ensure_parallel
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, file_path, text) from ``documents``."""
-    d = table(spark, sf_dir, "documents")
+    d = ensure_parallel(table(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id",
                     F.concat(F.lit("/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
                              F.lit(".txt")).alias("file_path"),
@@ -34,3 +36,7 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions: query_id = conv_id * 1000 + turn."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query_text"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensure_parallel(table(spark, sf_dir, "documents"), "doc_id")

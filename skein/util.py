@@ -21,3 +21,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 
 def default_parallelism(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
+def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over all cores when it arrived in fewer input partitions than the session's parallelism.
+
+    Large inputs arrive in many splits and pass through untouched (no shuffle); a small table stored as one row group
+    would otherwise run every row-local step (tokenising, chunking, embedding) in a single task. Hashing on ``key``
+    keeps each row's later per-key aggregations co-partitioned.
+    """
+    target = default_parallelism(df)
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df

@@ -113,9 +113,25 @@ def sql_clean(x: str) -> str:
     return SQL_CLEAN.format(x=x)
 
 
-RAG_SQL = rf"""
+RERANK_SQL = r"""
+dd AS (SELECT r.*, q.query_text,
+              row_number() OVER (PARTITION BY r.query_id, sha256(coalesce(r.chunk_text, '')) ORDER BY r.pos) AS dup
+       FROM ranked0 r JOIN qs q USING (query_id)),
+dterms AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(query_text), '[^a-zA-Z0-9_]+'),
+                                               lambda t: length(t) >= 3)) AS terms FROM dd WHERE dup = 1),
+rs AS (SELECT *, CASE WHEN len(terms) > 0
+                      THEN len(list_filter(terms, lambda t: contains(lower(coalesce(chunk_text, '')), t)))
+                           / len(terms)
+                      ELSE 0.0 END AS rerank_score FROM dterms),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS npos FROM rs),
+ranked AS (SELECT * EXCLUDE (pos, npos), npos AS pos FROM rr WHERE npos <= 6),"""
+
+def rag_sql(questions: str, rerank: bool = False) -> str:
+    """DuckDB SQL of the answer job; ``questions`` selects (query_id, query_text)."""
+    ranked = RERANK_SQL if rerank else "ranked AS (SELECT * FROM ranked0),"
+    return rf"""
 WITH {SQL_CHUNKS},
-qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark),
+qs AS ({questions}),
 {sql_hash_embed('ch', 'id', 'chunk_text', 256, 'cv')},
 {sql_hash_embed('qs', 'query_id', 'query_text', 256, 'qv')},
 vd AS (SELECT q.k AS query_id, c.k AS id, round(list_distance(q.vec, c.vec), 6) AS distance
@@ -141,9 +157,10 @@ hits AS (SELECT query_id, id, rank, distance, (0 * 100000 + rank)::BIGINT AS seq
          FROM fh WHERE rank <= 20),
 fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (20.0::DOUBLE + 100.0::DOUBLE * distance)) AS score,
                  min(seq) AS seq, arg_min(distance, seq) AS distance FROM hits GROUP BY query_id, id),
-ranked AS (SELECT f.*, c.chunk_text, c.file_path, c.chunk_index,
+ranked0 AS (SELECT f.*, c.chunk_text, c.file_path, c.chunk_index,
                   row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.score, 9) DESC, f.seq, f.id) AS pos
            FROM fused f JOIN ch c ON c.id = f.id),
+{ranked}
 ctx AS (SELECT * FROM ranked WHERE pos <= 3),
 grp AS (SELECT query_id, coalesce(file_path, 'unknown') AS src, min(pos) AS fpos,
                string_agg(CASE WHEN coalesce(chunk_text, '') <> '' THEN chunk_text END, ' ... ' ORDER BY pos) AS j
@@ -173,7 +190,7 @@ srcs AS (SELECT query_id, string_agg(file_path || '#' || chunk_index::VARCHAR, '
 conf AS (SELECT query_id, round(greatest(1.0 - avg(distance) / 2.0, 0.0) * 100.0, 1) AS confidence
          FROM ranked WHERE pos <= 3 GROUP BY query_id),
 cst AS (SELECT query_id, count(*) AS n_candidates, count(DISTINCT file_path) AS unique_sources
-        FROM ranked GROUP BY query_id)
+        FROM ranked0 GROUP BY query_id)
 SELECT q.query_id, q.query_text AS query, q.query_text AS clarified,
        CASE WHEN coalesce(c.n_candidates, 0) > 0
             THEN 'Based on the retrieved information:' || chr(10) || chr(10)
@@ -190,9 +207,232 @@ FROM qs q LEFT JOIN packed p USING (query_id) LEFT JOIN srcs s USING (query_id)
 """
 
 
-@register("rag_answers", RAG_SQL)
+BENCH_Q = "SELECT item_id AS query_id, text AS query_text FROM benchmark"
+CONV_Q = ("SELECT conv_id * 1000 + turn AS query_id, text AS query_text FROM conversations "
+          "WHERE role = 'user'")
+
+
+@register("rag_answers", rag_sql(BENCH_Q))
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer every benchmark question (rewriting fallback, hybrid retrieval, fusion, packing, answer)."""
     from .query import answer_questions
     chunks = chunk_table(spark, sf_dir, SQL_CHUNKING)
     return answer_questions(chunks, tables.benchmark_questions(spark, sf_dir), SQL_CHUNKING)
+
+
+@register("rag_answers_rerank", rag_sql(BENCH_Q, rerank=True))
+def rag_answers_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 with re-ranking on: duplicate texts dropped (A5), default pair scorer (M5), best top_k*2 kept (K4)."""
+    from .query import answer_questions
+    opts = SQL_CHUNKING.with_(enable_reranking=True)
+    chunks = chunk_table(spark, sf_dir, opts)
+    return answer_questions(chunks, tables.benchmark_questions(spark, sf_dir), opts)
+
+
+@register("rag_answers_conversations", rag_sql(CONV_Q))
+def rag_answers_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 over the user turns of ``conversations`` (J7: a second, larger question batch)."""
+    from .query import answer_questions
+    chunks = chunk_table(spark, sf_dir, SQL_CHUNKING)
+    return answer_questions(chunks, tables.conversation_questions(spark, sf_dir), SQL_CHUNKING)
+
+
+# ----------------------------------------------------------------------------------------------- E2, P11: search
+
+SEARCH_SQL = rf"""
+WITH {SQL_CHUNKS},
+qs AS ({BENCH_Q}),
+{sql_hash_embed('ch', 'id', 'chunk_text', 256, 'cv')},
+{sql_hash_embed('qs', 'query_id', 'query_text', 256, 'qv')},
+vd AS (SELECT q.k AS query_id, c.k AS id, round(list_distance(q.vec, c.vec), 6) AS distance FROM qv q CROSS JOIN cv c),
+vh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vd QUALIFY rank <= 5)
+SELECT vh.query_id, vh.rank::BIGINT AS rank, vh.id, ch.file_path, ch.chunk_index, vh.distance,
+       regexp_replace(substring(ch.chunk_text, 1, 201), '[ \t\n\x0B\f\r]+', ' ', 'g') || '...' AS preview
+FROM vh JOIN ch USING (id)
+"""
+
+
+@register("search_chunks", SEARCH_SQL)
+def search_chunks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest chunks of every benchmark question, with a preview."""
+    from .query import search_chunks
+    chunks = chunk_table(spark, sf_dir, SQL_CHUNKING)
+    return search_chunks(chunks, tables.benchmark_questions(spark, sf_dir), 5, SQL_CHUNKING)
+
+
+# ------------------------------------------------------------------------------------------- J1, W1, K1, H16: kNN
+
+KNN_SQL = """
+WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
+                  round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
+           FROM embeddings a CROSS JOIN embeddings b
+           WHERE len(a.embedding) > 0 AND len(a.embedding) = len(b.embedding))
+SELECT query_id, neighbor_id, distance, rank::BIGINT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+WHERE rank <= 10
+"""
+
+
+@register("knn_embeddings", KNN_SQL)
+def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector in ``embeddings`` (the neighbour graph), exact L2."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    items = e.select(F.col("vec_id").alias("id"), "embedding")
+    qs = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    r = search.knn_search(items, qs, 10, opts=DEFAULTS)
+    return r.select("query_id", F.col("id").alias("neighbor_id"), "distance", F.col("rank").cast("long").alias("rank"))
+
+
+# --------------------------------------------------------------------------------------- H1 (fixed), W3, S5, H7
+
+FIXED_CHUNKS_SQL = rf"""
+WITH {SQL_CHUNKS},
+tot AS (SELECT file_path, count(*) AS total_chunks FROM ch GROUP BY file_path)
+SELECT id, file_path, chunk_index, total_chunks, length(chunk_text)::BIGINT AS chunk_size,
+       regexp_extract(file_path, '([^/]*)/*$', 1) AS file_name,
+       coalesce(nullif(lower(regexp_extract(regexp_extract(file_path, '([^/]*)/*$', 1), '^.+\.([^.]+)$', 1)), ''),
+                'unknown') AS file_type
+FROM ch JOIN tot USING (file_path)
+"""
+
+
+@register("fixed_chunks", FIXED_CHUNKS_SQL)
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 (separator-free form) + W3 + S5: every chunk of every non-blank document, with its metadata fields."""
+    from ..operators.chunks import chunk_files
+    from ..functions.text import basename, file_type
+    c = chunk_files(tables.document_files(spark, sf_dir), SQL_CHUNKING)
+    return c.select("id", "file_path", "chunk_index", "total_chunks", "chunk_size",
+                    basename(F.col("file_path")).alias("file_name"), file_type(F.col("file_path")).alias("file_type"))
+
+
+@register("recursive_chunks")
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 (recursive separators, the indexing default): chunk rows of every document (invariants in tests)."""
+    from ..operators.chunks import chunk_files
+    c = chunk_files(tables.document_files(spark, sf_dir), DEFAULTS)
+    return c.select("id", "file_path", "chunk_index", "total_chunks", "chunk_size")
+
+
+# ------------------------------------------------------------------------------------ A1, A2, E6: index statistics
+
+STATS_SQL = rf"""
+WITH {SQL_CHUNKS},
+emb AS (SELECT * FROM ch WHERE len({sql_tokens('chunk_text')}) > 0)
+SELECT count(*)::BIGINT AS total_chunks,
+       (count(DISTINCT file_path) + max(CASE WHEN file_path IS NULL THEN 1 ELSE 0 END))::BIGINT AS unique_files,
+       count(*)::BIGINT AS with_embeddings,
+       0::BIGINT AS with_reduced_embeddings,
+       round(avg(length(chunk_text)))::BIGINT AS avg_chunk_size,
+       round(sum(length(chunk_text)) / 1024.0 / 1024.0, 2)::DOUBLE AS total_size_mb,
+       256::BIGINT AS embedding_dims
+FROM emb
+"""
+
+
+@register("index_stats", STATS_SQL)
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the chunk table built from ``documents``."""
+    from ..sources.store import stats
+    return stats(chunk_table(spark, sf_dir, SQL_CHUNKING)).drop("reduced_dims")
+
+
+# ----------------------------------------------------------------------------- H2-H4, H9, P1, P11: text functions
+
+TEXT_SQL = rf"""
+SELECT doc_id,
+       CASE WHEN {SQL_BLANK} THEN 1 ELSE 0 END::BIGINT AS is_blank,
+       md5({sql_clean('text')}) AS clean_md5,
+       length({sql_clean('text')})::BIGINT AS clean_len,
+       len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)),
+                       lambda s: s <> ''))::BIGINT AS n_sentences,
+       len(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9_]+'), lambda t: length(t) >= 3))::BIGINT
+           AS n_query_terms,
+       len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: length(w) > 3))::BIGINT AS n_key_terms,
+       CASE WHEN length(text) > 100 THEN substring(text, 1, 101) || '...' ELSE text END AS sample,
+       regexp_replace(substring(text, 1, 201), '[ \t\n\x0B\f\r]+', ' ', 'g') || '...' AS preview
+FROM documents
+"""
+
+
+@register("text_functions", TEXT_SQL)
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 clean, H3 query terms, H4 sentences, H9 key terms, P1 blank test, P11 previews -- per document."""
+    from ..functions import text as tx
+    d = tables.documents(spark, sf_dir)
+    t = F.col("text")
+    return d.select("doc_id", tx.is_blank(t).cast("long").alias("is_blank"), F.md5(tx.clean_text(t)).alias("clean_md5"),
+                    F.length(tx.clean_text(t)).cast("long").alias("clean_len"),
+                    F.size(tx.split_sentences(t)).cast("long").alias("n_sentences"),
+                    F.size(tx.query_terms(t)).cast("long").alias("n_query_terms"),
+                    F.size(tx.fallback_key_terms(t)).cast("long").alias("n_key_terms"),
+                    tx.topic_sample(t).alias("sample"), tx.preview(t).alias("preview"))
+
+
+TRIM_SQL = rf"""
+WITH d AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS q FROM documents WHERE NOT {SQL_BLANK}),
+sl AS (SELECT doc_id, q, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'),
+                                                 chr(1)), lambda s: s <> '') AS l FROM d),
+sents AS (SELECT doc_id, q, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM sl),
+scored AS (SELECT doc_id, s, pos,
+                  len(list_filter(list_filter(string_split_regex(lower(q), '[^a-zA-Z0-9_]+'), lambda t: length(t) >= 3),
+                                  lambda t: contains(lower(s), t))) AS score FROM sents),
+run AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY score DESC, pos
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM scored),
+t AS (SELECT doc_id, string_agg(s, ' ' ORDER BY score DESC, pos) AS trimmed FROM run WHERE total <= 500 GROUP BY doc_id)
+SELECT d.doc_id, md5(coalesce(t.trimmed, '')) AS trimmed_md5, length(coalesce(t.trimmed, ''))::BIGINT AS trimmed_len
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+@register("trim_documents", TRIM_SQL)
+def trim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 (H3, H4, H5, W4): every document trimmed to 500 characters most relevant to its own first line."""
+    from ..operators.context import trim_to_relevant
+    from ..functions.text import is_blank
+    d = tables.documents(spark, sf_dir).where(~is_blank(F.col("text")))
+    q = F.element_at(F.split(F.col("text"), "\n"), 1)
+    tr = trim_to_relevant(F.col("text"), q, 500)
+    return d.select("doc_id", F.md5(tr).alias("trimmed_md5"), F.length(tr).cast("long").alias("trimmed_len"))
+
+
+THINK_SQL = r"""
+SELECT conv_id, turn,
+       md5(regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'),
+                          '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g')) AS answer_md5
+FROM conversations WHERE role = 'assistant'
+"""
+
+
+@register("strip_think", THINK_SQL)
+def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 over every assistant turn of ``conversations``."""
+    from ..functions.text import strip_think_tags
+    c = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.md5(strip_think_tags(F.col("text"))).alias("answer_md5"))
+
+
+# --------------------------------------------------------------------------------------------------- S2: HTML text
+
+HTML_SQL = r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h,
+        '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'),
+        '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
+        '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS h FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'),
+        '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS h FROM c),
+e AS (SELECT page_id, trim(regexp_replace(h, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM d)
+SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS text_len, substring(t, 1, 80) AS head FROM e
+"""
+
+
+@register("html_text", HTML_SQL)
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page in ``pages``."""
+    from ..sources.files import html_to_text
+    p = tables.table(spark, sf_dir, "pages")
+    t = html_to_text(F.col("html"))
+    return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("text_len"),
+                    F.substring(t, 1, 80).alias("head"))

@@ -436,3 +436,306 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = html_to_text(F.col("html"))
     return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("text_len"),
                     F.substring(t, 1, 80).alias("head"))
+
+
+# ---------------------------------------------------------------------------------------- A8, P3, P4: quality
+
+QUALITY_SQL = """
+WITH c AS (SELECT embedding AS e,
+                  CASE WHEN embedding IS NULL OR len(embedding) = 0 THEN 'missing'
+                       WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL)) THEN 'invalid'
+                       WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'nan'
+                       WHEN list_bool_or(list_transform(embedding, lambda x: isinf(x))) THEN 'infinite'
+                       ELSE 'valid' END AS c FROM embeddings),
+dims AS (SELECT len(e) AS d, count(*) AS n FROM c WHERE c <> 'missing' GROUP BY 1 ORDER BY n DESC, d LIMIT 1)
+SELECT count(*)::BIGINT AS total, count_if(c = 'missing')::BIGINT AS missing, count_if(c = 'invalid')::BIGINT AS invalid,
+       count_if(c = 'nan')::BIGINT AS nan, count_if(c = 'infinite')::BIGINT AS infinite,
+       count_if(c = 'valid')::BIGINT AS valid, (SELECT d FROM dims)::BIGINT AS common_dim
+FROM c
+"""
+
+
+@register("embedding_quality", QUALITY_SQL)
+def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + P4: vector quality counts and the most common dimension of ``embeddings``."""
+    from ..operators import reduce as rd
+    e = tables.table(spark, sf_dir, "embeddings")
+    dim = rd.most_common_dim(e)
+    return rd.quality_counts(e).withColumn("common_dim", F.lit(dim).cast("long"))
+
+
+# -------------------------------------------------------------------------------------------- P5, K6: paging
+
+PAGE_SQL = """
+SELECT vec_id AS id, len(embedding)::BIGINT AS dims, label::BIGINT AS label
+FROM embeddings ORDER BY vec_id LIMIT 50 OFFSET 100
+"""
+
+
+@register("embedding_page", PAGE_SQL)
+def embedding_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5/K6: the page of 50 vectors after the first 100, by id (paging is the feature here)."""
+    from ..sources.store import page
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return page(e, "id", 50, 100).select("id", F.size("embedding").cast("long").alias("dims"),
+                                         F.col("label").cast("long").alias("label"))
+
+
+# -------------------------------------------------------------------------------------------- P6, J5: by ids
+
+BY_IDS_SQL = """
+SELECT doc_id, n_chars, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+"""
+
+
+@register("documents_by_ids", BY_IDS_SQL)
+def documents_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id appears in ``labels`` (a semi-join)."""
+    from ..sources.store import by_ids
+    d = tables.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "n_chars", "lang")
+    ids = tables.table(spark, sf_dir, "labels").select("doc_id")
+    return by_ids(d, ids).select(F.col("id").alias("doc_id"), "n_chars", "lang")
+
+
+# ------------------------------------------------------------------------------------- S9, J3: update vectors
+
+UPDATE_SQL = """
+WITH t AS (SELECT vec_id AS id, embedding, NULL::FLOAT[] AS reduced_embedding FROM embeddings),
+u AS (SELECT vec_id AS id, embedding[1:8] AS reduced_embedding FROM embeddings WHERE label < 5),
+m AS (SELECT t.id, t.embedding, coalesce(u.reduced_embedding, t.reduced_embedding) AS reduced_embedding
+      FROM t LEFT JOIN u USING (id))
+SELECT id, len(embedding)::BIGINT AS dims, coalesce(len(reduced_embedding), 0)::BIGINT AS reduced_dims,
+       round(list_sum(reduced_embedding::DOUBLE[]), 6) AS reduced_sum
+FROM m
+"""
+
+
+@register("reduced_update", UPDATE_SQL)
+def reduced_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set reduced vectors for the vectors of labels 0-4 (the first 8 components); the rest keep theirs."""
+    from ..sources.store import update_reduced
+    e = tables.table(spark, sf_dir, "embeddings")
+    t = e.select(F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("array<float>").alias("reduced_embedding"))
+    u = e.where(F.col("label") < 5).select(F.col("vec_id").alias("id"),
+                                           F.slice("embedding", 1, 8).alias("reduced_embedding"))
+    m = update_reduced(t, u)
+    s = F.aggregate("reduced_embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return m.select("id", F.size("embedding").cast("long").alias("dims"),
+                    F.when(F.col("reduced_embedding").isNotNull(), F.size("reduced_embedding")).otherwise(0)
+                    .cast("long").alias("reduced_dims"),
+                    F.round(s, 6).alias("reduced_sum"))
+
+
+# --------------------------------------------------------------------------------------- A5: duplicate removal
+
+DEDUP_SQL = """
+SELECT doc_id, sha256(coalesce(text, '')) AS text_hash
+FROM (SELECT *, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS r FROM documents)
+WHERE r = 1
+"""
+
+
+@register("dedup_documents", DEDUP_SQL)
+def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: drop exact duplicate texts by SHA-256, the first (smallest id) wins."""
+    from ..operators.fusion import dedup_texts
+    d = tables.documents(spark, sf_dir)
+    return dedup_texts(d, "text", ["doc_id"]).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)
+                                                     .alias("text_hash"))
+
+
+# ----------------------------------------------------------------------------------- A7: indexing counters
+
+COUNTERS_SQL = rf"""
+WITH {SQL_CHUNKS},
+emb AS (SELECT * FROM ch WHERE len({sql_tokens('chunk_text')}) > 0)
+SELECT (SELECT count(*) FROM documents)::BIGINT AS files_processed,
+       (SELECT count(*) FROM emb)::BIGINT AS chunks_created,
+       0::BIGINT AS errors
+"""
+
+
+@register("index_counters", COUNTERS_SQL)
+def index_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files processed (blank ones included), chunks created (embedded), errors."""
+    from .jobs import index_counters as counters
+    return counters(tables.document_files(spark, sf_dir), SQL_CHUNKING)
+
+
+# ------------------------------------------------------------------------- M16, W6, M17, A10: topics by language
+
+TOPIC_TOKENS = "list_filter(" + sql_tokens("text") + ", lambda t: length(t) >= 3)"
+
+LANG_TERMS_CTE = f"""
+tok AS (SELECT lang AS topic_id, unnest({TOPIC_TOKENS}) AS term FROM documents),
+tc AS (SELECT topic_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+tw AS (SELECT topic_id, sum(tf) AS words FROM tc GROUP BY 1),
+tft AS (SELECT term, sum(tf) AS ft FROM tc GROUP BY 1),
+ta AS (SELECT avg(words)::DOUBLE AS a FROM tw),
+tsc AS (SELECT tc.topic_id, tc.term, round(tc.tf / tw.words * ln(1.0 + ta.a / tft.ft), 9) AS score
+        FROM tc JOIN tw USING (topic_id) JOIN tft USING (term) CROSS JOIN ta),
+top AS (SELECT topic_id, term, score, term_rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS term_rank FROM tsc)
+        WHERE term_rank <= 10)"""
+
+LANG_COH_CTE = f"""
+cdocs AS (SELECT doc_id AS d, text FROM documents),
+pres AS (SELECT DISTINCT d, term FROM (SELECT d, unnest({TOPIC_TOKENS}) AS term FROM cdocs)
+         WHERE term IN (SELECT term FROM top)),
+dfreq AS (SELECT term, count(*) AS df FROM pres GROUP BY term),
+pairs AS (SELECT x.topic_id, x.term AS a, y.term AS b FROM top x JOIN top y ON x.topic_id = y.topic_id AND x.term < y.term),
+co AS (SELECT p.topic_id, p.a, p.b, count(*) AS dab
+       FROM pairs p JOIN pres pa ON pa.term = p.a JOIN pres pb ON pb.term = p.b AND pb.d = pa.d GROUP BY 1, 2, 3),
+nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+pj AS (SELECT p.topic_id, co.dab, da.df AS da, db.df AS db FROM pairs p LEFT JOIN co USING (topic_id, a, b)
+       LEFT JOIN dfreq da ON da.term = p.a LEFT JOIN dfreq db ON db.term = p.b),
+coh AS (SELECT topic_id,
+               round((avg(CASE WHEN coalesce(dab, 0) = 0 THEN -1.0
+                               WHEN dab = nd.n THEN 1.0
+                               ELSE ln((dab / nd.n) / ((da / nd.n) * (db / nd.n))) / (-ln(dab / nd.n)) END) + 1.0)
+                     / 2.0, 6) AS coherence
+        FROM pj CROSS JOIN nd GROUP BY topic_id)"""
+
+TERMS_SQL = f"""WITH {LANG_TERMS_CTE}
+SELECT topic_id, term, round(score, 6) AS score, term_rank::BIGINT AS term_rank FROM top"""
+
+
+def _lang_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.documents(spark, sf_dir)
+    return d.select(F.col("lang").alias("topic_id"), F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"))
+
+
+@register("topic_terms", TERMS_SQL)
+def topic_terms_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M16 + W6: the 10 top class-TF-IDF terms of every language group of ``documents`` (given assignment)."""
+    from ..operators.topics import topic_terms
+    t = topic_terms(_lang_topics(spark, sf_dir), 10)
+    return t.select("topic_id", "term", F.round("score", 6).alias("score"), "term_rank")
+
+
+COHERENCE_SQL = f"""WITH {LANG_TERMS_CTE},
+{LANG_COH_CTE}
+SELECT topic_id, coherence FROM coh"""
+
+
+@register("topic_coherence", COHERENCE_SQL)
+def topic_coherence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NPMI coherence (0..1) of the top terms of every language group of ``documents``."""
+    from ..operators.topics import coherence, topic_terms
+    docs = _lang_topics(spark, sf_dir)
+    terms = topic_terms(docs, 10).checkpoint()
+    return coherence(docs.select("id", "chunk_text"), terms)
+
+
+SUMMARY_SQL = f"""WITH {LANG_TERMS_CTE},
+{LANG_COH_CTE},
+sz AS (SELECT lang AS topic_id, count(*) AS size FROM documents GROUP BY 1),
+t AS (SELECT sz.topic_id, sz.size, coh.coherence,
+             CASE WHEN sz.size >= 20 THEN 'major' WHEN sz.size >= 10 THEN 'medium' ELSE 'minor' END AS tier
+      FROM sz LEFT JOIN coh USING (topic_id))
+SELECT count(*)::BIGINT AS total_topics, sum(size)::BIGINT AS total_documents,
+       round(sum(size) / count(*), 1) AS average_size,
+       CASE WHEN max(coherence) > 0 THEN round(avg(coherence) * 100.0, 1) END AS average_coherence_pct,
+       count_if(tier = 'major')::BIGINT AS major_topics, count_if(tier = 'medium')::BIGINT AS medium_topics,
+       count_if(tier = 'minor')::BIGINT AS minor_topics,
+       coalesce(sum(CASE WHEN tier = 'major' THEN size END), 0)::BIGINT AS major_documents,
+       coalesce(sum(CASE WHEN tier = 'medium' THEN size END), 0)::BIGINT AS medium_documents,
+       coalesce(sum(CASE WHEN tier = 'minor' THEN size END), 0)::BIGINT AS minor_documents
+FROM t"""
+
+
+@register("topic_summary", SUMMARY_SQL)
+def topic_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + P12: summary block of the language topics (sizes, coherence, tiers)."""
+    from ..operators.topics import coherence, summary_stats, topic_terms
+    docs = _lang_topics(spark, sf_dir)
+    terms = topic_terms(docs, 10).checkpoint()
+    coh = coherence(docs.select("id", "chunk_text"), terms)
+    sizes = docs.groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
+    return summary_stats(sizes.join(coh, "topic_id", "left"))
+
+
+# ------------------------------------------------------------------------ P12, W7, W5: topics by vector label
+
+TIERS_SQL = """
+SELECT label::BIGINT AS topic_id, count(*)::BIGINT AS size,
+       CASE WHEN count(*) >= 20 THEN 'major' WHEN count(*) >= 10 THEN 'medium' ELSE 'minor' END AS tier,
+       row_number() OVER (ORDER BY count(*) DESC, label)::BIGINT AS size_rank
+FROM embeddings GROUP BY label
+"""
+
+
+@register("topic_tiers", TIERS_SQL)
+def topic_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 + W7: size, tier and size order of the label groups of ``embeddings`` (few rows: one per topic)."""
+    from pyspark.sql import Window
+    from ..functions.text import size_tier
+    e = tables.table(spark, sf_dir, "embeddings")
+    t = e.groupBy(F.col("label").cast("long").alias("topic_id")).agg(F.count(F.lit(1)).cast("long").alias("size"))
+    w = Window.orderBy(F.desc("size"), F.asc("topic_id"))  # one row per topic: a single ordered partition is fine
+    return t.select("topic_id", "size", size_tier(F.col("size")).alias("tier"),
+                    F.row_number().over(w).cast("long").alias("size_rank"))
+
+
+REPS_SQL = """
+WITH el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cen AS (SELECT label, i, avg(x::DOUBLE) AS x FROM el GROUP BY 1, 2),
+cl AS (SELECT label, list(x ORDER BY i) AS c FROM cen GROUP BY 1),
+d AS (SELECT e.label, e.vec_id, round(list_distance(e.embedding::DOUBLE[], cl.c), 6) AS distance
+      FROM embeddings e JOIN cl USING (label))
+SELECT label::BIGINT AS topic_id, vec_id AS id, distance, rep_rank::BIGINT AS rep_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rep_rank FROM d)
+WHERE rep_rank <= 3
+"""
+
+
+@register("topic_representatives", REPS_SQL)
+def topic_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 vectors nearest their label group's centroid in ``embeddings``."""
+    from ..operators.topics import representatives
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("topic_id"),
+                                                         F.col("vec_id").alias("id"), "embedding")
+    return representatives(e, 3)
+
+
+@register("topics_kmeans")
+def topics_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster the chunk vectors of ``documents`` with k-means and describe every topic."""
+    from .jobs import topics_job
+    chunks = chunk_table(spark, sf_dir, DEFAULTS)
+    _, topics = topics_job(chunks, DEFAULTS)
+    from ..operators.topics import chart_rows
+    return chart_rows(topics).select("id", "label", "size", F.array_join("terms", " ").alias("terms"), "coherence",
+                                     F.size("samples").cast("long").alias("n_samples"))
+
+
+# ---------------------------------------------------------------------------------- M10, M11, A9: the reducer
+
+REDUCE_COUNTS_SQL = """
+WITH c AS (SELECT CASE WHEN embedding IS NOT NULL AND len(embedding) = (
+                  SELECT d FROM (SELECT len(embedding) AS d, count(*) AS n FROM embeddings
+                                 WHERE len(embedding) > 0 GROUP BY 1 ORDER BY n DESC, d LIMIT 1))
+                  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
+                  THEN 1 ELSE 0 END AS ok FROM embeddings)
+SELECT sum(ok)::BIGINT AS processed, (count(*) - sum(ok))::BIGINT AS skipped, 0::BIGINT AS errors FROM c
+"""
+
+
+@register("reduce_counts", REDUCE_COUNTS_SQL)
+def reduce_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + M11 + A9: fit the reducer on ``embeddings`` and apply it; processed / skipped / error counts."""
+    from ..operators import reduce as rd
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    r = rd.fit(e, "embedding", DEFAULTS)
+    return rd.apply_counts(r.transform_column(e))
+
+
+@register("reduced_vectors")
+def reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduced vector of every row of ``embeddings`` (PCA, parameters adjusted by H12)."""
+    from ..operators import reduce as rd
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    r = rd.fit(e, "embedding", DEFAULTS)
+    out = r.transform_column(e)
+    return out.select("id", F.size("reduced_embedding").cast("long").alias("reduced_dims"),
+                      F.round(F.aggregate("reduced_embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))

@@ -739,3 +739,26 @@ def reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = r.transform_column(e)
     return out.select("id", F.size("reduced_embedding").cast("long").alias("reduced_dims"),
                       F.round(F.aggregate("reduced_embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+
+
+# ------------------------------------------------------------------------------------- X2, J6, S6: streaming ingest
+
+STREAM_SQL = rf"""
+WITH {SQL_CHUNKS}
+SELECT id, file_path, chunk_index, length(chunk_text)::BIGINT AS chunk_size
+FROM ch WHERE len({sql_tokens('chunk_text')}) > 0
+"""
+
+
+@register("stream_index", STREAM_SQL)
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index ``documents`` through the streaming ingest into a fresh store; the chunk rows it holds equal the
+    batch index."""
+    from ..session import scratch_path
+    from ..sources.store import ChunkStore
+    from ..streaming.ingest import run_ingest
+    src = f"{sf_dir.rstrip('/')}/documents*.parquet"  # a glob: the stream source watches a folder pattern
+    schema = tables.table(spark, sf_dir, "documents").schema
+    store = ChunkStore(spark, scratch_path(spark, "stream-store"))
+    run_ingest(spark, src, schema, store, SQL_CHUNKING)
+    return store.read().select("id", "file_path", "chunk_index", F.length("chunk_text").cast("long").alias("chunk_size"))

@@ -64,6 +64,7 @@ class Options:
     broadcast_max_rows: int = 200_000
     knn_items_per_block: int = 50_000
     knn_queries_per_block: int = 2_048
+    bm25_rows_per_block: int = 20_000
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Options":

@@ -762,3 +762,14 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ChunkStore(spark, scratch_path(spark, "stream-store"))
     run_ingest(spark, src, schema, store, SQL_CHUNKING)
     return store.read().select("id", "file_path", "chunk_index", F.length("chunk_text").cast("long").alias("chunk_size"))
+
+
+@register("rag_answers_reduced")
+def rag_answers_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 + M13 + E5: fit the reducer on the chunk vectors, store reduced vectors, answer on the reduced column."""
+    from ..operators import reduce as rd
+    from .query import answer_questions
+    chunks = chunk_table(spark, sf_dir, SQL_CHUNKING)
+    r = rd.fit(chunks, "embedding", SQL_CHUNKING, n_components=64)
+    reduced = r.transform_column(chunks).checkpoint()
+    return answer_questions(reduced, tables.benchmark_questions(spark, sf_dir), SQL_CHUNKING, reducer=r)

@@ -1,13 +1,7 @@
-"""The chunk table on Parquet.
-
-The store is a Parquet folder with CHUNK_SCHEMA. Appends never rewrite; the reduced-vector update writes a new
-version next to the old one and switches a pointer file, so a reader never sees a half-written table and no path is
-overwritten while it is read.
-"""
+"""The chunk table on Parquet (CHUNK_SCHEMA), as append-only segments."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,35 +11,41 @@ from ..schemas import CHUNK_SCHEMA
 
 
 class ChunkStore:
+    """A chunk table stored as append-only Parquet segments listed in a pointer file.
+
+    Appends write a new segment and add it to the list; the reduced-vector update writes one new segment holding the
+    whole table and replaces the list. No segment is ever written while it is read.
+    """
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    # -- locating the current version ----------------------------------------------------------------------------
-    def _current_file(self) -> str:
-        return f"{self.root}/_CURRENT"
+    # -- locating the current segments ---------------------------------------------------------------------------
+    def _pointer(self) -> str:
+        return f"{self.root}/_SEGMENTS"
 
-    def _current(self) -> str | None:
+    def segments(self) -> list[str]:
         try:
-            rows = self.spark.read.text(self._current_file()).collect()  # one line
+            rows = self.spark.read.text(self._pointer()).collect()  # one short line per segment
         except Exception:  # noqa: BLE001 -- no pointer yet
-            return None
-        return rows[-1][0].strip() if rows else None
+            return []
+        return [r[0].strip() for r in rows if r[0].strip()]
 
-    def _set_current(self, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(
-            self._current_file())
+    def _set_segments(self, segs: list[str]) -> None:
+        self.spark.createDataFrame([(x,) for x in segs], "v string").coalesce(1).write.mode("overwrite").text(
+            self._pointer())
 
     def exists(self) -> bool:
         """S8."""
-        return self._current() is not None
+        return bool(self.segments())
 
     # -- reads ----------------------------------------------------------------------------------------------------
     def read(self) -> DataFrame:
         """S7 full scan; S8: a missing store reads as an empty table."""
-        v = self._current()
-        if v is None:
+        segs = self.segments()
+        if not segs:
             return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.root}/{v}")
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(*[f"{self.root}/{v}" for v in segs])
 
     def embeddings_page(self, limit: int | None = None, offset: int = 0) -> DataFrame:
         """P5/K6: (id, embedding, reduced_embedding) ordered by id, with offset and limit."""
@@ -63,30 +63,31 @@ class ChunkStore:
         return df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
 
     # -- writes ---------------------------------------------------------------------------------------------------
-    def add(self, chunks: DataFrame) -> None:
-        """Append rows (metadata already JSON). The vector length must be one value across old and new rows."""
-        v = self._current()
-        if v is None:
-            v = f"v-{uuid.uuid4().hex[:12]}"
-            self._set_current(v)
-        rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields])
-        rows.write.mode("append").parquet(f"{self.root}/{v}")
+    def _write_segment(self, rows: DataFrame) -> str:
+        v = f"seg-{uuid.uuid4().hex[:16]}"
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields]).write.parquet(f"{self.root}/{v}")
+        return v
+
+    def add(self, chunks: DataFrame) -> str:
+        """Append rows (metadata already JSON) as a new segment; returns its name."""
+        before = self.segments()
+        v = self._write_segment(chunks)
+        self._set_segments(before + [v])
+        return v
 
     def add_new(self, chunks: DataFrame) -> DataFrame:
-        """Append only chunks whose content id is not stored yet; returns the rows that were new."""
+        """Append only chunks whose content id is not stored yet; returns the rows that were new.
+
+        The anti-join reads the existing segments and the write goes to a new one, so a replayed batch adds nothing.
+        """
         new = chunks.join(self.read().select("id"), "id", "left_anti") if self.exists() else chunks
-        path = f"{self.root}/_staging-{uuid.uuid4().hex[:12]}"
-        new.write.parquet(path)  # fix the new rows before the store they were compared with changes
-        staged = self.spark.read.schema(new.schema).parquet(path)
-        self.add(staged)
-        return self.spark.read.schema(new.schema).parquet(path)
+        v = self.add(new)
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.root}/{v}")
 
     def update_reduced(self, updates: DataFrame) -> None:
-        """Set reduced_embedding by id, keep every other row and field as it was; write a new version."""
-        merged = update_reduced(self.read(), updates)
-        v = f"v-{uuid.uuid4().hex[:12]}"
-        merged.write.parquet(f"{self.root}/{v}")
-        self._set_current(v)
+        """Set reduced_embedding by id, keep every other row and field as it was; one new segment."""
+        v = self._write_segment(update_reduced(self.read(), updates))
+        self._set_segments([v])
 
 
 def page(df: DataFrame, order_col: str, limit: int | None, offset: int = 0) -> DataFrame:

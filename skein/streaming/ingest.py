@@ -15,6 +15,7 @@ from ..operators.chunks import build_chunk_table
 from ..options import DEFAULTS, Options
 from ..session import scratch_path
 from ..sources.store import ChunkStore
+from ..util import ensure_parallel
 
 
 def document_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -33,7 +34,8 @@ def run_ingest(spark: SparkSession, source: str, schema, store: ChunkStore, opts
     checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        store.add_new(build_chunk_table(to_files(batch), opts, embedder))
+        files = ensure_parallel(to_files(batch), "file_path")
+        store.add_new(build_chunk_table(files, opts, embedder))
 
     q = (document_stream(spark, source, schema).writeStream.foreachBatch(each_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -56,3 +56,28 @@ def build_chunk_table(files: DataFrame, opts: Options = DEFAULTS, embedder=None,
     ch = embed_chunks(chunk_files(files, opts, **kw), embedder, opts)
     return ch.select("id", "chunk_text", "file_path", "chunk_index", "embedding",
                      F.lit(None).cast("array<float>").alias("reduced_embedding"), "metadata")
+
+
+def chunk_mixed(spark, paths: DataFrame | None = None, texts: DataFrame | None = None,
+                docs: DataFrame | None = None, opts: Options = DEFAULTS) -> DataFrame:
+    """Chunk a mixed input -- files by path (read as text), raw texts, and {text, metadata} records -- as one
+    ``unionByName`` of typed inputs. Raw texts get the path 'inline_text' as the reference's index_text does."""
+    parts = []
+    if paths is not None:
+        from ..sources.files import extract_text
+        files = spark.read.format("binaryFile").load([r[0] for r in paths.select(paths.columns[0]).collect()]) \
+            if paths.count() else None
+        if files is not None:
+            parts.append(extract_text(files).select("file_path", "text"))
+    if texts is not None:
+        parts.append(texts.select(F.lit("inline_text").alias("file_path"), F.col(texts.columns[0]).alias("text")))
+    if docs is not None:
+        path = F.coalesce(F.get_json_object(F.col("metadata"), "$.file_path"), F.lit("inline_text"))
+        parts.append(docs.select(path.alias("file_path"), F.col("text")))
+    if not parts:
+        return spark.createDataFrame([], "id string, chunk_text string, file_path string, chunk_index long, "
+                                         "total_chunks long, chunk_size long, metadata string")
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return chunk_files(u, opts)

@@ -95,3 +95,8 @@ def search_chunks(chunks: DataFrame, questions: DataFrame, k: int = 5, opts: Opt
     text = chunks.select("id", "chunk_text", "file_path", "chunk_index")
     return text.join(hits_b, "id").select("query_id", F.col("rank").cast("long").alias("rank"), "id", "file_path",
                                         "chunk_index", "distance", tx.preview(F.col("chunk_text")).alias("preview"))
+
+
+def answers_json(answers: DataFrame) -> DataFrame:
+    """Each answer row as one JSON document."""
+    return answers.select("query_id", F.to_json(F.struct(*[c for c in answers.columns])).alias("json"))

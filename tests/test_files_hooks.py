@@ -79,3 +79,52 @@ def test_pandas_embedder_hook(spark):
     files = spark.createDataFrame([("/a.txt", "some text here"), ("/b.txt", "  ")], "file_path string, text string")
     rows = build_chunk_table(files, DEFAULTS, emb).collect()
     assert len(rows) == 1 and list(rows[0].embedding) == [1.0, 1.0, 1.0, 1.0]
+
+
+def test_mixed_chunking_and_json(spark):
+    from skein.operators.chunks import chunk_mixed
+    from skein.plans.query import answers_json
+    d = make_dir()
+    paths = spark.createDataFrame([(os.path.join(d, "ruby.txt"),)], "p string")
+    texts = spark.createDataFrame([("raw text here",)], "t string")
+    docs = spark.createDataFrame([("doc text", '{"file_path": "/x/y.md"}')], "text string, metadata string")
+    rows = chunk_mixed(spark, paths, texts, docs).collect()
+    assert sorted(r.file_path.split("/")[-1] for r in rows) == ["inline_text", "ruby.txt", "y.md"]
+    js = answers_json(spark.createDataFrame([(1, "a")], "query_id long, answer string")).first().json
+    assert js == '{"query_id":1,"answer":"a"}'
+
+
+def test_topic_hooks_and_export(spark):
+    from skein.operators import topics as tp
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    df = e.select(F.col("vec_id").cast("string").alias("id"), "embedding",
+                  F.concat(F.lit("word"), F.col("label").cast("string"), F.lit(" shared text")).alias("chunk_text"))
+    assigned = tp.cluster(df, "embedding", DEFAULTS, k=10)
+
+    class Summ:
+        def summarize(self, prompt):
+            return F.concat(F.lit("Summary: about "), F.substring(prompt, 1, 5))
+
+    class Lab:
+        def label(self, terms, docs):
+            return F.lit(None).cast("string")
+    t = tp.topic_table(assigned, DEFAULTS, labeler=Lab(), summarizer=Summ()).collect()
+    assert all(r.summary.startswith("about ") for r in t)
+    assert all(r.label == ", ".join(r.terms[:3]) for r in t)
+    out = scratch_path(spark, "topics-json")
+    tp.export_json(tp.topic_table(assigned, DEFAULTS), out)
+    j = spark.read.json(out).first()
+    assert j.summary.total_topics == len(t) and j.generated_at
+
+
+def test_apply_reducer_job(spark):
+    from skein.plans.jobs import apply_reducer, train_reducer
+    store = ChunkStore(spark, scratch_path(spark, "red"))
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("file_path"), "text")
+    store.add(build_chunk_table(files, DEFAULTS))
+    r = train_reducer(store.read(), scratch_path(spark, "model"), DEFAULTS, n_components=16)
+    c = apply_reducer(store, r).first()
+    n = store.read().count()
+    assert c.processed == n and c.skipped == 0
+    assert store.read().where(F.size("reduced_embedding") == 16).count() == n

@@ -773,3 +773,11 @@ def rag_answers_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rd.fit(chunks, "embedding", SQL_CHUNKING, n_components=64)
     reduced = r.transform_column(chunks).checkpoint()
     return answer_questions(reduced, tables.benchmark_questions(spark, sf_dir), SQL_CHUNKING, reducer=r)
+
+
+@register("topics_density")
+def topics_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 'density' method over ``embeddings``: topic id per vector (-1 = outlier)."""
+    from ..operators.topics import cluster
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return cluster(e, "embedding", DEFAULTS.with_(clustering_method="density")).select("id", "topic_id")

@@ -20,14 +20,15 @@ from ..util import bounded_broadcast
 
 def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DEFAULTS, *, embedder=None,
                      rewriter=None, scorer=None, generator=None, vec_col: str = "embedding",
-                     reducer=None) -> DataFrame:
+                     reducer=None, fts_index=None) -> DataFrame:
     """(query_id, query, clarified, answer, sources, n_sources, confidence, n_candidates, unique_sources,
     n_sub_queries).
 
     ``chunks``: the chunk table (id, chunk_text, file_path, chunk_index, embedding, ...). ``questions``:
     (query_id, query_text). Hooks: ``rewriter.rewrite(col)->struct``, ``scorer(query, text)->double column``,
     ``generator.generate(prompt_col)->string`` (null = failure, the extractive fallback is used). ``reducer``: a
-    fitted reducer; it is used (P9) only when the table holds reduced vectors, decided once per job.
+    fitted reducer; it is used (P9) only when the table holds reduced vectors, decided once per job. ``fts_index``:
+    (postings, (N, avgdl)) from ``jobs.load_fts_index``, to skip tokenising the corpus per job.
     """
     embedder = embedder or HashingEmbedder(opts.embedding_dim)
     analysis = fusion.analyze(questions, opts, rewriter)
@@ -36,7 +37,9 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DE
         has_reduced = chunks.where(F.col("reduced_embedding").isNotNull() & (F.size("reduced_embedding") > 0)) \
             .limit(1).count() > 0
         reducer = reducer if has_reduced else None
-    hits = fusion.retrieve(chunks, subq, opts, embedder, vec_col=vec_col, reducer=reducer)
+    postings, stats_ = fts_index if fts_index is not None else (None, None)
+    hits = fusion.retrieve(chunks, subq, opts, embedder, vec_col=vec_col, reducer=reducer, postings=postings,
+                           stats=stats_)
     # Retrieval ends in a small frame (questions x sub-queries x 2k rows at most): materialise it once in the shared
     # checkpoint folder so the size check and the later steps do not recompute the searches.
     fused = fusion.fuse(hits, opts).checkpoint()

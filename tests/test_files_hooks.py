@@ -128,3 +128,18 @@ def test_apply_reducer_job(spark):
     n = store.read().count()
     assert c.processed == n and c.skipped == 0
     assert store.read().where(F.size("reduced_embedding") == 16).count() == n
+
+
+def test_stored_fts_index_gives_same_answers(spark):
+    from skein.plans import catalog, tables
+    from skein.plans.jobs import build_fts_index, load_fts_index
+    sf = "/root/testdata/sf0.001"
+    opts = catalog.SQL_CHUNKING
+    chunks = catalog.chunk_table(spark, sf, opts)
+    path = scratch_path(spark, "fts")
+    build_fts_index(chunks, path)
+    idx = load_fts_index(spark, path)
+    qs = tables.benchmark_questions(spark, sf)
+    a = sorted(tuple(r) for r in answer_questions(chunks, qs, opts).collect())
+    b = sorted(tuple(r) for r in answer_questions(chunks, qs, opts, fts_index=idx).collect())
+    assert a == b

@@ -68,12 +68,13 @@ def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------ E3 flagship: answers
 
-def chunk_table(spark: SparkSession, sf_dir: str, opts=None):
+def chunk_table(spark: SparkSession, sf_dir: str, opts=None, materialize: bool = True):
     """Chunk table over ``documents`` (fixed windows unless opts say otherwise), materialised in the checkpoint
-    folder because retrieval reads it several times."""
+    folder when it is read several times (retrieval reads it for vectors, terms and texts)."""
     from ..operators.chunks import build_chunk_table
     opts = opts or SQL_CHUNKING
-    return build_chunk_table(tables.document_files(spark, sf_dir), opts).checkpoint()
+    t = build_chunk_table(tables.document_files(spark, sf_dir), opts)
+    return t.checkpoint() if materialize else t
 
 
 # The SQL-checked queries use the separator-free splitter (fixed windows of 512 with overlap 50), the form SQL can
@@ -334,7 +335,7 @@ FROM emb
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the chunk table built from ``documents``."""
     from ..sources.store import stats
-    return stats(chunk_table(spark, sf_dir, SQL_CHUNKING)).drop("reduced_dims")
+    return stats(chunk_table(spark, sf_dir, SQL_CHUNKING, materialize=False)).drop("reduced_dims")
 
 
 # ----------------------------------------------------------------------------- H2-H4, H9, P1, P11: text functions

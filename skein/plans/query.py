@@ -20,7 +20,7 @@ from ..util import bounded_broadcast
 
 def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DEFAULTS, *, embedder=None,
                      rewriter=None, scorer=None, generator=None, vec_col: str = "embedding",
-                     reducer=None, fts_index=None) -> DataFrame:
+                     reducer=None, fts_index=None, summarizer=None) -> DataFrame:
     """(query_id, query, clarified, answer, sources, n_sources, confidence, n_candidates, unique_sources,
     n_sub_queries).
 
@@ -28,7 +28,8 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DE
     (query_id, query_text). Hooks: ``rewriter.rewrite(col)->struct``, ``scorer(query, text)->double column``,
     ``generator.generate(prompt_col)->string`` (null = failure, the extractive fallback is used). ``reducer``: a
     fitted reducer; it is used (P9) only when the table holds reduced vectors, decided once per job. ``fts_index``:
-    (postings, (N, avgdl)) from ``jobs.load_fts_index``, to skip tokenising the corpus per job.
+    (postings, (N, avgdl)) from ``jobs.load_fts_index``, to skip tokenising the corpus per job. ``summarizer``:
+    ``summarize(prompt_col)->string`` for the summary-first context (M9); null keeps the plain context.
     """
     embedder = embedder or HashingEmbedder(opts.embedding_dim)
     analysis = fusion.analyze(questions, opts, rewriter)
@@ -65,6 +66,12 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DE
                                                       .alias("s")))).alias("_s")))
     stats = cands.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"),
                                           F.countDistinct("file_path").alias("unique_sources"))
+    if summarizer is not None:
+        prompt = F.format_string(tx.SUMMARY_PROMPT.replace("{query}", "%s").replace("{context}", "%s"),
+                                 F.col("clarified_intent"), F.substring("context", 1, 1501))
+        packed = (packed.join(analysis.select("query_id", "clarified_intent"), "query_id")
+                  .select("query_id", cx.summary_context(F.col("context"), summarizer.summarize(prompt))
+                          .alias("context")))
     out = (analysis.join(packed, "query_id", "left").join(src, "query_id", "left")
            .join(conf, "query_id", "left").join(stats, "query_id", "left"))
     fallback = F.concat(F.lit(tx.FALLBACK_ANSWER_PREFIX), F.substring("context", 1, 501), F.lit("..."))

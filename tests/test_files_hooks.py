@@ -143,3 +143,18 @@ def test_stored_fts_index_gives_same_answers(spark):
     a = sorted(tuple(r) for r in answer_questions(chunks, qs, opts).collect())
     b = sorted(tuple(r) for r in answer_questions(chunks, qs, opts, fts_index=idx).collect())
     assert a == b
+
+
+def test_summary_hook_in_answers(spark):
+    from skein.plans import catalog, tables
+    sf = "/root/testdata/sf0.001"
+    chunks = catalog.chunk_table(spark, sf, catalog.SQL_CHUNKING)
+    qs = tables.benchmark_questions(spark, sf)
+
+    class Summ:
+        def summarize(self, prompt):
+            return F.when(F.instr(prompt, "Query: ") > 0, F.lit("short summary"))
+    rows = answer_questions(chunks, qs, catalog.SQL_CHUNKING, summarizer=Summ()).collect()
+    found = [r for r in rows if r.n_candidates > 0]
+    assert found and all(r.answer.startswith("Based on the retrieved information:\n\nSummary: short summary")
+                         for r in found)

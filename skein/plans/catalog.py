@@ -782,3 +782,11 @@ def topics_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.topics import cluster
     e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return cluster(e, "embedding", DEFAULTS.with_(clustering_method="density")).select("id", "topic_id")
+
+
+@register("rag_answers_recursive")
+def rag_answers_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 with the indexing defaults (recursive separator splitter): the pipeline as a user runs it."""
+    from .query import answer_questions
+    chunks = chunk_table(spark, sf_dir, DEFAULTS)
+    return answer_questions(chunks, tables.benchmark_questions(spark, sf_dir), DEFAULTS)

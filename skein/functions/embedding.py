@@ -29,12 +29,15 @@ def _c(x) -> Column:
 
 def hashed_codes(text, dim: int) -> Column:
     """Per token: (bucket + 1) * sign, bucket = first 32 bits of md5 mod dim, sign = parity of the next hex digit."""
-    def code(t):
-        h = F.md5(t)
-        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim)) + 1
-        sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    # One md5 and one conversion per token (an inner transform, so the hash is not recomputed by the outer lambda):
+    # the first 9 hex digits as a 36-bit number x; the first 32 bits are x div 16, the 9th digit's parity is x's.
+    xs = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("bigint"))
+
+    def code(x):
+        bucket = F.pmod(F.floor(x / 16).cast("bigint"), F.lit(dim)) + 1
+        sign = F.when(x % 2 == 0, 1).otherwise(-1)
         return (bucket * sign).cast("int")
-    return F.transform(tokens(text), code)
+    return F.transform(xs, code)
 
 
 @lru_cache(maxsize=None)

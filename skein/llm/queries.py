@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bytes_dedup import bytes_dedup
 from .exact_dedup import OP2_SQL, exact_dedup
+from .substring_dedup import OP3_SQL, substring_dedup
 from .url_filter import filter_urls
 
 
@@ -16,15 +19,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_bytes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytes_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_bytes_dedup": op5_bytes_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bytes_dedup import bytes_dedup
 from .exact_dedup import OP2_SQL, exact_dedup
+from .jaccard_join import jaccard_components
 from .substring_dedup import OP3_SQL, substring_dedup
 from .url_filter import filter_urls
 
@@ -24,6 +25,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_bytes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bytes_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,6 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_bytes_dedup": op5_bytes_dedup,
     "op10_url_filter": op10_url_filter,
 }

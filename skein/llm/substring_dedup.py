@@ -262,7 +262,7 @@ def shard_decisions(table: pa.Table, window: int) -> pa.Table:
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), w AS (
   SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20

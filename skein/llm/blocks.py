@@ -24,13 +24,14 @@ def counts(df: DataFrame, per_partition: int = 4) -> int:
     return per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def deal(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(block, doc_id, text) with null texts as empty ones; documents without an id are dealt by their text."""
+def deal(docs: DataFrame, n: int, id_col: str, text_col: str, keep: dict | None = None) -> DataFrame:
+    """(block, doc_id, text) and ``keep`` with null texts as empty ones; documents without an id are dealt by text."""
     spread = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(
         F.xxhash64(F.col(id_col).cast("long")))
     return docs.select(F.pmod(spread, F.lit(n)).cast("int").alias("block"),
                        F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       *[c.alias(name) for name, c in (keep or {}).items()])
 
 
 def rows(block, buckets, data) -> pa.Table:
@@ -40,9 +41,9 @@ def rows(block, buckets, data) -> pa.Table:
     return pa.table([pa.array(full(block)), pa.array(full(buckets)), pa.array(data, pa.binary())], schema=ROW_ARROW)
 
 
-def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+def in_order(table: pa.Table, extra=()) -> tuple[pa.Table, np.ndarray]:
     """The documents of a block by (id, text), nulls first, and their ids; rows that repeat an id stay apart."""
-    table = table.select(["block", "doc_id", "text"])
+    table = table.select(["block", "doc_id", "text", *extra])
     ids = table["doc_id"].fill_null(NULL_ID).to_numpy()
     order = np.argsort(ids, kind="stable")
     same = np.flatnonzero(ids[order][1:] == ids[order][:-1])

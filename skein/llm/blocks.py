@@ -20,7 +20,7 @@ ROW_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", p
 NULL_ID = -(2**63)  # order of a null id: before all others
 
 
-def counts(df: DataFrame, per_partition: int = 4) -> int:
+def counts(df: DataFrame, per_partition: int = 2) -> int:
     return per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

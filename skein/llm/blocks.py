@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +107,15 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1]) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def pieces(batches, column: int, size: int = 4 << 20):
+    """Slices of record batches with about ``size`` bytes of text, one row at least, so that passes stay small."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)

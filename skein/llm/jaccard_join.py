@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .blocks import Packer, counts, deal, expand, in_order, rows
+from .blocks import Packer, counts, deal, expand, in_order, pieces, rows
 from .components import components
 from .textnum import LOWER, U, mix, shingle_hashes, span_hashes, utf8, word_spans
 
@@ -61,9 +61,7 @@ def digest_of(found: np.ndarray) -> bytes | None:
 
 def _describe(batches):
     """Of each document (block, doc_id, n, digest); of each batch also its most frequent shingles (digest null)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in pieces(batches, 2, 16 << 20):
         with np.errstate(over="ignore"):
             found = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([

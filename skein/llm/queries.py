@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .bytes_dedup import bytes_dedup
+from .decontaminate import contaminated
 from .exact_dedup import OP2_SQL, exact_dedup
 from .jaccard_join import jaccard_components
+from .line_dedup import line_dedup
 from .substring_dedup import OP3_SQL, substring_dedup
 from .url_filter import filter_urls
 
@@ -44,6 +46,15 @@ def op5_bytes_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -54,6 +65,8 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bytes_dedup": op5_bytes_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -23,22 +23,48 @@ TRIGGER = 8       # bytes of a trigger
 PHRASE = 16       # one in so many trigger hashes ends a phrase
 
 
+PACKED = 6              # symbols of up to 10 bits that the first sort looks at
+
+
 def suffix_ranks(symbols: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray:
-    """Rank of each suffix ``symbols[i:end[i]]`` by its first ``reach`` symbols (or more); equal ones share a rank."""
+    """Rank of each suffix ``symbols[i:end[i]]`` by its first ``reach`` symbols (or more); equal ones share a rank.
+
+    Prefix doubling; from the second round on only suffixes that are not yet alone with their rank are sorted.
+    """
     n = len(symbols)
     if not n:
         return np.zeros(0, np.int64)
-    _, rank = np.unique(symbols, return_inverse=True)
-    h, classes = 1, -1
     at = np.arange(n)
-    while h < reach:
-        follow = np.zeros(n, np.int64)
-        inside = at + h < end
-        follow[inside] = rank[at[inside] + h] + 1
-        distinct, rank = np.unique(rank * (n + 1) + follow, return_inverse=True)
-        if len(distinct) in (classes, n):  # no longer prefix tells more apart
+    key, h = symbols.astype(np.int64) + 1, 1
+    if key.max() < 1024:
+        for j in range(1, PACKED):
+            follow = np.zeros(n, np.int64)
+            follow[:max(0, n - j)] = symbols[j:] + 1
+            key = key * 1024 + np.where(at + j < end, follow, 0)
+        h = PACKED
+    order = np.argsort(key)
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))  # number of smaller suffixes
+    alone = new & np.r_[new[1:], True]
+    todo = order[~alone]
+    while h < reach and len(todo):
+        follow = np.zeros(len(todo), np.int64)
+        inside = todo + h < end[todo]
+        follow[inside] = rank[todo[inside] + h] + 1
+        old = rank[todo]
+        key = old * (n + 1) + follow
+        order = np.argsort(key)
+        key, old, todo = key[order], old[order], todo[order]
+        place = np.arange(len(todo))
+        group = np.r_[True, old[1:] != old[:-1]]
+        new = np.r_[True, key[1:] != key[:-1]]
+        if new.sum() == group.sum():  # no longer prefix tells more apart
             break
-        h, classes = h * 2, len(distinct)
+        rank[todo] = old + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(
+            np.where(group, place, 0))
+        todo = todo[~(new & np.r_[new[1:], True])]
+        h *= 2
     return rank
 
 

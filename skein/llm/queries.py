@@ -12,6 +12,7 @@ from .exact_dedup import OP2_SQL, exact_dedup
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .substring_dedup import OP3_SQL, substring_dedup
+from .toxicity import held_out, score_toxicity, train
 from .url_filter import filter_urls
 
 
@@ -55,6 +56,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -67,6 +76,7 @@ QUERIES = {
     "op5_bytes_dedup": op5_bytes_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -59,13 +59,13 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each document and the total) of the words ``[^\\x20\\x09-\\x0D]+``."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, between=WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each document and the total) of the words, by default ``[^\\x20\\x09-\\x0D]+``."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    white = WHITE[buf]
+    white = between[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     solid = ~white

@@ -9,6 +9,8 @@ from .bpe import bpe_decode, bpe_encode
 from .bytes_dedup import bytes_dedup
 from .decontaminate import contaminated
 from .exact_dedup import OP2_SQL, exact_dedup
+from .html_extract import extract_text
+from .html_extract import train as train_html
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .substring_dedup import OP3_SQL, substring_dedup
@@ -64,6 +66,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, train_html(pages))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .blocks import Packer, counts, deal, expand, in_order, rounds, rows
-from .textnum import BYTE, U, kgram_hashes, mix, powers, utf8
+from .blocks import counts, deal, expand, in_order, rounds, rows
+from .textnum import BYTE, PIECE, Running, U, kgram_hashes, mix, utf8
 
 TRIGGER = 8       # bytes of a trigger
 PHRASE = 16       # one in so many trigger hashes ends a phrase
 
 
+PART_BYTES = 2 << 20    # of a shard that are ordered at once
 PACKED = 6              # symbols of up to 10 bits that the first sort looks at
 
 
@@ -68,12 +69,14 @@ def suffix_ranks(symbols: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray
     return rank
 
 
-def corpus_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix rank in the dictionary, rank of the parse after it) of each position of the texts ``starts..ends``."""
+def corpus_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, reach: int,
+                 running: Running) -> np.ndarray:
+    """A number that orders the suffixes from the positions ``at`` of the texts ``starts..ends``: rank of the phrase
+    suffix in the dictionary, then rank of the parse after it."""
     n, w = len(text), TRIGGER
-    own = np.repeat(np.arange(len(starts)), ends - starts)
-    g = kgram_hashes(BYTE[text], w)
-    hit = np.flatnonzero(g % U(PHRASE) == 0)
+    own = np.repeat(np.arange(len(starts), dtype=np.int32), ends - starts)
+    hit = np.concatenate([a + np.flatnonzero(kgram_hashes(BYTE[text[a:a + PIECE + w - 1]], w) % U(PHRASE) == 0)
+                          for a in range(0, n, PIECE)])
     hit = hit[own[hit] == own[np.minimum(hit + w - 1, n - 1)]]  # starts of triggers inside one text
     # phrases: from a text's start or a trigger to the end of the next trigger or of the text
     first = np.sort(np.concatenate([starts, hit]))  # a trigger at a text's start closes a phrase of its own
@@ -82,9 +85,7 @@ def corpus_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach:
     last = np.r_[text_of[1:] != text_of[:-1], True]
     stop = np.where(last, ends[text_of], nxt + w)
     length = stop - first
-    pw, inv = powers(n + 1)
-    total = np.r_[U(0), np.cumsum(BYTE[text] * pw[:n], dtype=np.uint64)]
-    phrase = mix((total[stop] - total[first]) * inv[first] + length.astype(np.uint64) * U(2) + last.astype(np.uint64))
+    phrase = mix(running.parts(first, length) + length.astype(np.uint64) * U(2) + last.astype(np.uint64))
     _, chosen, which = np.unique(phrase, return_index=True, return_inverse=True)
     # dictionary: the distinct phrases; one that ends its text is closed by a symbol below all bytes
     size = length[chosen] + last[chosen]
@@ -97,11 +98,10 @@ def corpus_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach:
     parse_end = np.searchsorted(text_of, text_of, "right")
     rank_p = suffix_ranks(parse, parse_end, reach)
     # each position belongs to the first phrase whose closing trigger starts at it or later
-    j = np.searchsorted(np.where(last, stop - 1, stop - w), np.arange(n), "left")
-    j = np.minimum(j, len(first) - 1)
-    suffix = rank_d[d_at[which[j]] + np.arange(n) - first[j]]
+    j = np.searchsorted(np.where(last, stop - 1, stop - w), at, "left")
+    suffix = rank_d[d_at[which[j]] + at - first[j]]
     after = np.where(last[j], 0, rank_p[np.minimum(j + 1, len(first) - 1)] + 1)
-    return suffix, after
+    return suffix * (int(rank_p.max(initial=0)) + 2) + after
 
 
 def _bytes(table: pa.Table):
@@ -111,7 +111,7 @@ def _bytes(table: pa.Table):
 
 
 def bytes_dedup(docs: DataFrame, window: int = 200, k: int = 32, id_col: str = "doc_id", text_col: str = "text",
-                n_blocks: int | None = None, n_shards: int | None = None) -> DataFrame:
+                n_blocks: int | None = None, n_shards: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per input row: (doc_id, n_bytes, n_removed, n_spans, kept binary).
 
     Every UTF-8 byte covered by a ``window``-byte string that also starts anywhere else, in the same document or
@@ -135,11 +135,10 @@ def bytes_dedup(docs: DataFrame, window: int = 200, k: int = 32, id_col: str = "
             return rows(0, 0, [])
         _, _, buf, offs = _bytes(table)
         found = anchors(buf, offs)
-        pw, inv = powers(len(buf) + 1)
-        total = np.r_[U(0), np.cumsum(BYTE[buf] * pw[:len(buf)], dtype=np.uint64)]
+        running = Running(lambda a, b: BYTE[buf[a:b]], len(buf))
 
         def content(at, windows):
-            return mix((total[at + windows + window - 1] - total[at]) * inv[at] + windows.astype(np.uint64))
+            return mix(running.parts(at, windows + window - 1) + windows.astype(np.uint64))
 
         def write(p, at, windows):
             p.put(buf[expand(at, windows + window - 1)])
@@ -148,7 +147,7 @@ def bytes_dedup(docs: DataFrame, window: int = 200, k: int = 32, id_col: str = "
         return repeats.send(table["block"][0].as_py(), found, keep, content, write, lambda at: ())
 
     def decide(table: pa.Table) -> pa.Table:
-        return shard_decisions(table, window)
+        return shard_decisions(table, window, part_bytes)
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -175,57 +174,44 @@ def bytes_dedup(docs: DataFrame, window: int = 200, k: int = 32, id_col: str = "
                   "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def shard_decisions(table: pa.Table, window: int) -> pa.Table:
+def shard_decisions(table: pa.Table, window: int, part_bytes: int) -> pa.Table:
     """Order a shard's distinct segments, and tell each block which of its windows occur more than once."""
-    blocks, packs = table["block"].to_numpy(), [Packer.of_squeezed(x) for x in table["data"].to_pylist()]
-    shard = table["bucket"][0].as_py()
-    hashes, windows, places, starts, texts = [], [], [], [], []
-    for p in packs:
-        hashes.append(p.get(np.uint64))
-        windows.append(p.get(np.uint32).astype(np.int64))
-        places.append(p.get(np.uint32).astype(np.int64))
-        starts.append(p.get(np.uint32).astype(np.int64))
-        texts.append(p.get(np.uint8))
-    h, win, n_places = np.concatenate(hashes), np.concatenate(windows), np.concatenate(places)
-    entry_block = np.repeat(np.arange(len(packs)), [len(x) for x in hashes])
-    text, place = np.concatenate(texts), np.concatenate(starts)
-    size = win + window - 1
-    text_at = np.cumsum(size) - size
-    _, chosen, content = np.unique(h, return_index=True, return_inverse=True)
-    length, times = size[chosen], np.bincount(content, weights=n_places).astype(np.int64)
-    joined = text[expand(text_at[chosen], length)]
+    entries = repeats.received(table, window, (), lambda p: p.get(np.uint8))
+    found = [_repeated(entries, chosen) for chosen in entries.parts(part_bytes)]
+    return entries.report(found)
+
+
+def _repeated(entries: repeats.Entries, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first window, number) of the runs of repeated windows at all places of the entries ``mine``."""
+    window = entries.window
+    _, chosen, content = np.unique(entries.content[mine], return_index=True, return_inverse=True)
+    n_places = entries.n_places[mine]
+    times = np.bincount(content, weights=n_places).astype(np.int64)
+    win = entries.windows[mine][chosen]
+    length = win + window - 1
+    joined = entries.symbols[expand(entries.at[mine][chosen], length)]
     ends = np.cumsum(length)
     begin = ends - length
-    suffix, after = corpus_order(joined, begin, ends, window)
-    at = expand(begin, win[chosen])  # the places where windows start
-    owner = np.repeat(np.arange(len(chosen)), win[chosen])
-    n = len(joined)
-    pw, inv = powers(n + 1)
-    total = np.r_[U(0), np.cumsum(BYTE[joined] * pw[:n], dtype=np.uint64)]
-    print_ = (total[at + window] - total[at]) * inv[at]
-    key = suffix[at] * (int(after.max(initial=0)) + 1) + after[at]
-    order = np.argsort(key, kind="stable")
-    sorted_print = print_[order]
-    first = np.flatnonzero(np.r_[True, sorted_print[1:] != sorted_print[:-1]])
+    at = expand(begin, win)  # the positions where windows start
+    owner = np.repeat(np.arange(len(chosen)), win)
+    running = Running(lambda a, b: BYTE[joined[a:b]], len(joined))
+    order = np.argsort(corpus_order(joined, begin, ends, at, window, running))
+    fingerprint = running.parts(at[order], window)
+    first = np.flatnonzero(np.r_[True, fingerprint[1:] != fingerprint[:-1]])
     class_times = np.add.reduceat(times[owner[order]], first)
     repeated = np.empty(len(at), bool)
     repeated[order] = np.repeat(class_times > 1, np.diff(np.r_[first, len(order)]))
-    # runs of repeated windows of each distinct segment: offset and length
-    w_at = np.cumsum(win[chosen]) - win[chosen]
-    opens = repeated & np.r_[True, ~repeated[:-1] | (owner[1:] != owner[:-1])]
-    closes = repeated & np.r_[~repeated[1:] | (owner[1:] != owner[:-1]), True]
-    run_a, run_b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    run_owner = owner[run_a] if len(run_a) else run_a
+    # runs of repeated windows of each distinct segment
+    new = np.r_[True, owner[1:] != owner[:-1], True]
+    run_a = np.flatnonzero(repeated & (np.r_[True, ~repeated[:-1]] | new[:-1]))
+    run_b = np.flatnonzero(repeated & (np.r_[~repeated[1:], True] | new[1:])) + 1
+    run_owner = owner[run_a]
     run_cut = np.searchsorted(run_owner, np.arange(len(chosen) + 1))
+    offset = run_a - (np.cumsum(win) - win)[run_owner]
     # every place of every entry repeats the runs of its content
     place_content = np.repeat(content, n_places)
-    place_block = np.repeat(entry_block, n_places)
     n_runs = np.diff(run_cut)[place_content]
     run = expand(run_cut[place_content], n_runs)
-    base = np.repeat(place, n_runs) + run_a[run] - w_at[run_owner[run]] if len(run) else run
-    long = (run_b - run_a)[run] if len(run) else run
-    of_block = np.repeat(place_block, n_runs)
-    cuts = np.searchsorted(of_block, np.arange(len(packs) + 1))
-    data = [repeats.spans_of(base[a:b], long[a:b]) for a, b in zip(cuts, cuts[1:])]
-    told = [i for i, x in enumerate(data) if x]
-    return rows(blocks[told], shard, [data[i] for i in told])
+    place = entries.place[expand(entries.first[mine], n_places)]
+    return (np.repeat(np.repeat(entries.block[mine], n_places), n_runs), np.repeat(place, n_runs) + offset[run],
+            (run_b - run_a)[run])

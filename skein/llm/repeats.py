@@ -135,7 +135,8 @@ def send(block: int, found: Anchors, keep: np.ndarray, content_hash, write, orde
     data = []
     for a, b in zip(cuts, cuts[1:]):
         f = first[a:b]
-        p = Packer().put(h[f]).put(windows[f].astype(np.uint32)).put(n_places[a:b].astype(np.uint32))
+        p = Packer().put(h[f]).put(found.values[which[f]]).put(windows[f].astype(np.uint32))
+        p.put(n_places[a:b].astype(np.uint32))
         p.put(starts[first[a]:(first[b] if b < len(first) else len(starts))].astype(np.uint32))
         for x in order_of(starts[f]):
             p.put(x)
@@ -144,6 +145,60 @@ def send(block: int, found: Anchors, keep: np.ndarray, content_hash, write, orde
     return rows(block, bucket[cuts[:-1]], data)
 
 
+@dataclass
+class Entries:
+    """What a bucket has got: one entry for each distinct segment of each block."""
+    table: pa.Table
+    block: np.ndarray     # row of the table
+    content: np.ndarray   # hash of the segment
+    anchor: np.ndarray
+    windows: np.ndarray
+    n_places: np.ndarray
+    first: np.ndarray     # of the entry's places
+    place: np.ndarray     # all places, in windows of the block
+    order: list           # what orders first places
+    symbols: np.ndarray   # all segments
+    at: np.ndarray        # the entry's in them
+    window: int
+
+    def parts(self, size: int):
+        """Entries by anchor, in parts of about ``size`` symbols: no window is in two parts."""
+        n = max(1, -(-len(self.symbols) // size))
+        part = (self.anchor >> U(32)) % U(n)
+        for i in range(n):
+            chosen = np.flatnonzero(part == i)
+            if len(chosen):
+                yield chosen
+
+    def report(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+        """Rows for blocks from (row of the table, first window, number of windows) of what is to be reported."""
+        block, start, length = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(block, kind="stable")
+        block, start, length = block[order], start[order], length[order]
+        told, first = np.unique(block, return_index=True)
+        cuts = [*first.tolist(), len(block)]
+        return rows(self.table["block"].to_numpy()[told], self.table["bucket"][0].as_py(),
+                    [spans_of(start[a:b], length[a:b]) for a, b in zip(cuts, cuts[1:])])
+
+
+def received(table: pa.Table, window: int, order_types, read) -> Entries:
+    """Unpack a bucket's rows; ``read(packer)`` gives the symbols that ``write`` of :func:`send` has put."""
+    n, content, anchor, windows, n_places, place, order, symbols = [], [], [], [], [], [], [], []
+    for data in table["data"].to_pylist():
+        p = Packer.of_squeezed(data)
+        content.append(p.get(np.uint64)), anchor.append(p.get(np.uint64))
+        windows.append(p.get(np.uint32)), n_places.append(p.get(np.uint32)), place.append(p.get(np.uint32))
+        order.append([p.get(t) for t in order_types])
+        symbols.append(read(p))
+        n.append(len(content[-1]))
+    windows = np.concatenate(windows).astype(np.int64)
+    n_places = np.concatenate(n_places).astype(np.int64)
+    size = windows + window - 1
+    return Entries(table, np.repeat(np.arange(len(n)), n), np.concatenate(content), np.concatenate(anchor), windows,
+                   n_places, np.cumsum(n_places) - n_places, np.concatenate(place).astype(np.int64),
+                   [np.concatenate(x) for x in zip(*order)], np.concatenate(symbols), np.cumsum(size) - size, window)
+
+
 def spans_of(starts: np.ndarray, lengths: np.ndarray) -> bytes:
     """Ranges of windows, merged where they touch."""
     if not len(starts):

@@ -17,7 +17,11 @@ from pyspark.sql import DataFrame
 
 from . import repeats
 from .blocks import Packer, counts, deal, expand, in_order, rounds, rows
-from .textnum import U, WHITE, kgram_hashes, mix, powers, span_hashes, utf8, word_spans
+from .textnum import Running, U, WHITE, mix, span_hashes, utf8, word_spans
+
+
+ORDER = (np.int64, np.uint32, np.uint32)  # id, document and start of a segment's first place in a block
+PART_WORDS = 1 << 19  # of a shard that are indexed at once
 
 
 class Bits:
@@ -126,7 +130,7 @@ def _words(table: pa.Table):
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                    n_blocks: int | None = None, n_shards: int | None = None) -> DataFrame:
+                    n_blocks: int | None = None, n_shards: int | None = None, part_words: int = PART_WORDS) -> DataFrame:
     """One row per input row: (doc_id, n_words, n_removed, kept).
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Each word covered by a window of ``window`` words is removed if the
@@ -152,11 +156,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str =
         block = table["block"][0].as_py()
         _, ids, buf, _, starts, ends, first = _words(table)
         h, found = anchors(buf, starts, ends, first)
-        pw, inv = powers(len(h) + 1)
-        total = np.r_[U(0), np.cumsum(h * pw[:len(h)], dtype=np.uint64)]
+        running = Running(lambda a, b: h[a:b], len(h))
 
         def content(at, windows):
-            return mix((total[at + windows + window - 1] - total[at]) * inv[at] + windows.astype(np.uint64))
+            return mix(running.parts(at, windows + window - 1) + windows.astype(np.uint64))
 
         def write(p, at, windows):
             distinct, codes = np.unique(h[expand(at, windows + window - 1)], return_inverse=True)
@@ -164,13 +167,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str =
 
         def order_of(at):
             doc = np.searchsorted(first, at, "right") - 1
-            return ids[doc], doc.astype(np.uint32), (at - first[doc]).astype(np.uint32)
+            return ids[doc], doc.astype(np.uint32), (at - first[doc]).astype(np.uint32)  # as ORDER
 
         keep = repeats.repeated_segments(found, replies)
         return repeats.send(block, found, keep, content, write, order_of)
 
     def decide(table: pa.Table) -> pa.Table:
-        return shard_decisions(table, window)
+        return shard_decisions(table, window, part_words)
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -202,62 +205,43 @@ def substring_dedup(docs: DataFrame, window: int = 20, k: int = 8, id_col: str =
                   "doc_id long, n_words long, n_removed long, kept string")
 
 
-def shard_decisions(table: pa.Table, window: int) -> pa.Table:
+def shard_decisions(table: pa.Table, window: int, part_words: int) -> pa.Table:
     """Index a shard's distinct segments, stream them, and tell each block which of its windows start earlier elsewhere."""
-    blocks, packs = table["block"].to_numpy(), [Packer.of_squeezed(x) for x in table["data"].to_pylist()]
-    shard = table["bucket"][0].as_py()
-    hashes, windows, places, starts, order, words = [], [], [], [], [], []
-    for p in packs:
-        hashes.append(p.get(np.uint64))
-        windows.append(p.get(np.uint32).astype(np.int64))
-        places.append(p.get(np.uint32).astype(np.int64))
-        starts.append(p.get(np.uint32).astype(np.int64))
-        order.append((p.get(np.int64), p.get(np.uint32), p.get(np.uint32)))
+    def read(p: Packer) -> np.ndarray:
         distinct = p.get(np.uint64)
-        words.append(distinct[p.get(np.uint32)])
-    n_entries = [len(x) for x in hashes]
-    entry_block = np.repeat(np.arange(len(packs)), n_entries)
-    h, win, n_places = np.concatenate(hashes), np.concatenate(windows), np.concatenate(places)
-    text, place = np.concatenate(words), np.concatenate(starts)
-    size = win + window - 1
-    text_at = np.cumsum(size) - size
-    _, chosen, content = np.unique(h, return_index=True, return_inverse=True)
+        return distinct[p.get(np.uint32)]
+
+    entries = repeats.received(table, window, ORDER, read)
+    return entries.report([_late(entries, chosen) for chosen in entries.parts(part_words)])
+
+
+def _late(entries: repeats.Entries, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first window, number) of the windows, at all places of the entries ``mine``, that start earlier."""
+    window, win, n_places = entries.window, entries.windows[mine], entries.n_places[mine]
+    _, chosen, content = np.unique(entries.content[mine], return_index=True, return_inverse=True)
     # the distinct segments, each closed by symbol 0
-    length = size[chosen]
-    symbols, coded = np.unique(text[expand(text_at[chosen], length)], return_inverse=True)
+    length = win[chosen] + window - 1
+    symbols, coded = np.unique(entries.symbols[expand(entries.at[mine][chosen], length)], return_inverse=True)
     at = np.cumsum(length + 1) - (length + 1)
     joined = np.zeros(int((length + 1).sum()), np.int64)
     joined[expand(at, length)] = coded + 1
-    index = FMIndex(joined, len(symbols) + 1, window)
-    class_at = index.stream(joined, at, length)
+    class_at = FMIndex(joined, len(symbols) + 1, window).stream(joined, at, length)
     # one row per window of each entry: its class and the order of the entry's first place
     offset = expand(np.zeros(len(win), np.int64), win)
     entry = np.repeat(np.arange(len(win)), win)
     cls = class_at[at[content][entry] + offset]
-    doc_id = np.concatenate([o[0] for o in order])[entry]
-    nth = np.concatenate([o[1] for o in order])[entry]
-    start = np.concatenate([o[2] for o in order])[entry].astype(np.int64) + offset
-    sort = np.lexsort((start, nth, blocks[entry_block][entry], doc_id, cls))
-    earliest = np.zeros(len(cls), bool)
-    earliest[sort[np.r_[True, cls[sort][1:] != cls[sort][:-1]]]] = True
-    # windows to report: at an entry's first place all but the earliest of a class, at its other places all
-    first_place = np.cumsum(n_places) - n_places
-    late = ~earliest
-    base = place[first_place][entry] + offset
-    others = np.ones(len(place), bool)
-    others[first_place] = False
-    owner = np.repeat(np.arange(len(win)), n_places)
-    data = []
-    window_block, place_block = entry_block[entry], entry_block[owner]
-    w_cut = np.searchsorted(window_block, np.arange(len(packs) + 1))
-    p_cut = np.searchsorted(place_block, np.arange(len(packs) + 1))
-    for i in range(len(packs)):
-        a = base[w_cut[i]:w_cut[i + 1]][late[w_cut[i]:w_cut[i + 1]]]
-        s = slice(p_cut[i], p_cut[i + 1])
-        b, n = place[s][others[s]], win[owner[s]][others[s]]
-        data.append(repeats.spans_of(np.r_[a, b], np.r_[np.ones(len(a), np.int64), n]))
-    told = [i for i, x in enumerate(data) if x]
-    return rows(blocks[told], shard, [data[i] for i in told])
+    doc_id, nth, start = (x[mine][entry] for x in entries.order)
+    block = entries.table["block"].to_numpy()[entries.block[mine]][entry]
+    sort = np.lexsort((start + offset, nth, block, doc_id, cls))
+    late = np.ones(len(cls), bool)
+    late[sort[np.r_[True, cls[sort][1:] != cls[sort][:-1]]]] = False
+    # at an entry's first place all but the earliest window of a class, at its other places all
+    first = entries.place[entries.first[mine]]
+    more = expand(entries.first[mine] + 1, n_places - 1)
+    owner = np.repeat(np.arange(len(win)), n_places - 1)
+    return (np.r_[entries.block[mine][entry][late], entries.block[mine][owner]],
+            np.r_[(first[entry] + offset)[late], entries.place[more]],
+            np.r_[np.ones(int(late.sum()), np.int64), win[owner]])
 
 
 OP3_SQL = r"""

@@ -42,6 +42,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POW, _IPOW = powers(PIECE * 2)
 
 
+class Running:
+    """Prefix sums of a stream of symbol hashes, for the hash of any part of it.
+
+    ``symbols(a, b)`` gives the hashes of positions a..b; powers are kept for one piece and one row of pieces only.
+    """
+
+    def __init__(self, symbols, n: int):
+        self.total = np.zeros(n + 1, np.uint64)
+        for a in range(0, n, PIECE):
+            b = min(n, a + PIECE)
+            part = self.total[a + 1:b + 1]
+            np.cumsum(symbols(a, b) * _POW[:b - a], out=part)
+            part *= U(pow(_ODD, a, 2**64))
+            part += self.total[a]
+        self.inverse = np.array([pow(_INV, a, 2**64) for a in range(0, n + 1, PIECE)], np.uint64)
+
+    def parts(self, starts: np.ndarray, lengths) -> np.ndarray:
+        """Hashes of ``lengths`` symbols from ``starts`` on, equal for equal parts (not spread, see :func:`mix`)."""
+        return ((self.total[starts + lengths] - self.total[starts]) * self.inverse[starts // PIECE]
+                * _IPOW[starts % PIECE])
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -72,7 +72,7 @@ def frame(spark, docs):
 @pytest.mark.parametrize("seed,window,k", [(1, 6, 4), (2, 20, 8), (3, 8, 8)])
 def test_words(spark, seed, window, k):
     docs = corpus(seed, 60, ["a", "b", "c", "dd", "ee", "é"] if window < 20 else list("abcdefghijkl"), 150)
-    got = substring_dedup(frame(spark, docs), window, k, n_blocks=5, n_shards=3)
+    got = substring_dedup(frame(spark, docs), window, k, n_blocks=5, n_shards=3, part_words=[300, 1 << 19][seed % 2])
     key = lambda r: (r[0] is not None, r[0] or 0, r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_words(docs, window), key=key)
 
@@ -81,7 +81,7 @@ def test_words(spark, seed, window, k):
 def test_bytes(spark, seed, window, k):
     docs = corpus(seed, 50, ["a", "b", "cd", "é"] if window < 40 else [f"{i:x}{i * 7 % 13}" for i in range(40)],
                   120 if window < 200 else 400)
-    got = bytes_dedup(frame(spark, docs), window, k, n_blocks=5, n_shards=3)
+    got = bytes_dedup(frame(spark, docs), window, k, n_blocks=5, n_shards=3, part_bytes=[900, 2 << 20][seed % 2])
     key = lambda r: (r[0] is not None, r[0] or 0, r)
     rows = [(r[0], r[1], r[2], r[3], bytes(r[4])) for r in got.collect()]
     assert sorted(rows, key=key) == sorted(brute_bytes(docs, window), key=key)

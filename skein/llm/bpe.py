@@ -26,7 +26,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import Packer, counts, expand
 
@@ -115,15 +115,15 @@ class _Words(dict):
 
 
 def _blocks(batches):
-    """(block number, ids of its documents, texts): consecutive rows of up to about BLOCK_BYTES."""
+    """(block number, its rows, texts): consecutive rows of up to about BLOCK_BYTES."""
     part, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = batch.column(1).to_pylist()
         a, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
             if size >= BLOCK_BYTES or i == len(texts) - 1:
-                yield (part << 24) + nth, ids[a:i + 1], texts[a:i + 1]
+                yield (part << 24) + nth, batch.slice(a, i + 1 - a), texts[a:i + 1]
                 a, size, nth = i + 1, 0, nth + 1
 
 
@@ -147,8 +147,8 @@ def _numbered(texts, pattern, n_buckets: int):
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               n_buckets: int | None = None) -> DataFrame:
-    """One row per input row: (doc_id, n_tokens, ids array<int>), without special tokens.
+               keep: tuple[str, ...] = (), n_buckets: int | None = None) -> DataFrame:
+    """One row per input row: (doc_id, n_tokens, ids array<int>) and the columns in ``keep``, without special tokens.
 
     Defined cases: null and empty texts have no ids; null and repeated document ids are passed through; an empty table
     gives an empty result; further columns are not read. ``ranks_path`` is read by the driver; the rank table, bounded by
@@ -157,7 +157,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     spark = docs.sparkSession
     n_buckets = n_buckets or counts(docs, 2)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    extra = [f"_keep{i}" for i in range(len(keep))]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                         *[F.col(c).alias(e) for e, c in zip(extra, keep)])
+    kept = source.select(*extra).schema.fields
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()),
+                         StructField("ids", ArrayType(IntegerType())), *kept])
 
     def vocabulary(batches):
         split = regex.compile(pattern)
@@ -172,11 +177,16 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def positions(batches):
         split = regex.compile(pattern)
-        for block, ids, texts in _blocks(batches):
+        for block, own, texts in _blocks(batches):
             words, _, place, found = _numbered(texts, split, n_buckets)
             n = np.array([len(x) for x in found], np.int64)
             seq = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
-            p = Packer().put(np.array([x is None for x in ids], bool)).put(np.array([x or 0 for x in ids], np.int64))
+            # the rows without their texts travel with the positions
+            rest = pa.Table.from_batches([own]).drop_columns("text")
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema) as stream:
+                stream.write_table(rest)
+            p = Packer().put(np.frombuffer(sink.getvalue(), np.uint8))
             p.put(n).put(np.array([len(words)])).put(place[seq])
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()),
                                               pa.array([p.squeezed()], pa.binary())], ["block", "bucket", "data"])
@@ -210,7 +220,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         if blocks.num_rows != 1:
             raise RuntimeError("a block's words came back without its documents: the input's partitions have changed")
         p = Packer.of_squeezed(blocks["data"][0].as_py())
-        missing, doc, n = p.get(bool), p.get(np.int64), p.get(np.int64)
+        own, n = pa.ipc.open_stream(pa.py_buffer(p.get(np.uint8))).read_all(), p.get(np.int64)
         if int(p.get(np.int64)[0]) != len(size):
             raise RuntimeError("a block's words don't fit its documents: the input's partitions have changed")
         seq = p.get(np.uint32)
@@ -218,15 +228,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         cut = np.r_[0, np.cumsum(n)]
         at = np.r_[0, np.cumsum(per_word)][cut]
         out = ids[expand(begin[seq], per_word)]
-        return pa.table({
-            "doc_id": pa.array(doc, pa.int64(), mask=missing),
-            "n_tokens": pa.array(np.diff(at), pa.int64()),
-            "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32())),
-        })
+        return pa.table([own["doc_id"], pa.array(np.diff(at), pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32())),
+                         *[own[e] for e in extra]], names=["doc_id", "n_tokens", "ids", *extra])
 
     words = source.mapInArrow(vocabulary, ROW).groupBy("bucket").applyInArrow(encode, ROW)
-    return (source.mapInArrow(positions, ROW).groupBy("block").cogroup(words.groupBy("block"))
-            .applyInArrow(assemble, "doc_id long, n_tokens long, ids array<int>"))
+    found = (source.mapInArrow(positions, ROW).groupBy("block").cogroup(words.groupBy("block"))
+             .applyInArrow(assemble, schema))
+    return found.select("doc_id", "n_tokens", "ids", *[F.col(e).alias(c) for e, c in zip(extra, keep)])
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .blocks import Packer, counts, expand
+from .blocks import Packer, counts, expand, pieces
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 ROW = "block long, bucket int, data binary"
 # a single space between two other characters always starts a pre-token, whatever stands before it
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s \S|\S \s|\A | \Z|  ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,18 +50,21 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(word) > 64:
         return _encode_long(word, ranks)
     parts = [word[i:i + 1] for i in range(len(word))]
-    pair = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-    while True:
-        best = min((r for r in pair if r is not None), default=None)
-        if best is None:
-            return [ranks[x] for x in parts]
+    get, never = ranks.get, 1 << 31
+    pair = [get(word[i:i + 2], never) for i in range(len(word) - 1)]
+    while pair:
+        best = min(pair)
+        if best == never:
+            break
         i = pair.index(best)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        joined = parts[i] + parts.pop(i + 1)
+        parts[i] = joined
         del pair[i]
-        if i > 0:
-            pair[i - 1] = ranks.get(parts[i - 1] + parts[i])
+        if i:
+            pair[i - 1] = get(parts[i - 1] + joined, never)
         if i < len(pair):
-            pair[i] = ranks.get(parts[i] + parts[i + 1])
+            pair[i] = get(joined + parts[i + 1], never)
+    return [ranks[x] for x in parts]
 
 
 def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -98,6 +100,10 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Uneven(Exception):
+    """A piece between two spaces that is empty or starts or ends with white space."""
+
+
 class _Words(dict):
     """Pre-token -> number in order of appearance, and piece of text -> numbers of its pre-tokens."""
 
@@ -110,42 +116,52 @@ class _Words(dict):
         return tuple([number.setdefault(t, len(number)) for t in self.find(piece)])
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Uneven
         found = self[piece] = self.first(" " + piece)
         return found
 
+    def text(self, text: str) -> list[int]:
+        pieces = text.split(" ")
+        try:
+            if pieces[0] and not pieces[0][-1].isspace():
+                return [*self.first(pieces[0]), *chain.from_iterable(map(self.__getitem__, pieces[1:]))]
+        except _Uneven:
+            pass
+        pieces = _CUT.split(text)
+        return [*self.first(pieces[0]), *chain.from_iterable(self.first(" " + p) for p in pieces[1:])]
+
 
 def _blocks(batches):
     """(block number, its rows, texts): consecutive rows of up to about BLOCK_BYTES."""
-    part, nth = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        a, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BLOCK_BYTES or i == len(texts) - 1:
-                yield (part << 24) + nth, batch.slice(a, i + 1 - a), texts[a:i + 1]
-                a, size, nth = i + 1, 0, nth + 1
+    part = TaskContext.get().partitionId()
+    for nth, rows in enumerate(pieces(batches, 1, BLOCK_BYTES)):
+        yield (part << 24) + nth, rows, rows.column(1).to_pylist()
 
 
 def _numbered(texts, pattern, n_buckets: int):
     """Words of a block in bucket order, their buckets, and for each text its sequence of places among them."""
     words = _Words(pattern)
-    found = []
-    for t in texts:
-        if not t:
-            found.append(())
-            continue
-        pieces = _CUT.split(t) if _ODD.search(t) else t.split(" ")
-        head = words.first(pieces[0])
-        found.append(list(chain(head, chain.from_iterable(map(words.__getitem__, pieces[1:])))))
+    found = [words.text(t) if t else () for t in texts]
     raw = [w.encode("utf-8", "surrogatepass") for w in words.number]
     bucket = np.array([zlib.crc32(w) for w in raw], np.int64) % n_buckets
-    order = np.argsort(bucket, kind="stable")
+    # by bucket, then by bytes: neighbours share their beginnings, which compresses
+    order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
     return [raw[i] for i in order], bucket[order], place, found
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**31 as their lowest bytes, then the next ones and so on: like bytes together compress better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, -1).T).view("<i4").ravel()
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                keep: tuple[str, ...] = (), n_buckets: int | None = None) -> DataFrame:
     """One row per input row: (doc_id, n_tokens, ids array<int>) and the columns in ``keep``, without special tokens.
@@ -187,7 +203,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             with pa.ipc.new_stream(sink, rest.schema) as stream:
                 stream.write_table(rest)
             p = Packer().put(np.frombuffer(sink.getvalue(), np.uint8))
-            p.put(n).put(np.array([len(words)])).put(place[seq])
+            p.put(n).put(np.array([len(words)])).put(planes(place[seq]))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()),
                                               pa.array([p.squeezed()], pa.binary())], ["block", "bucket", "data"])
 
@@ -204,17 +220,18 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 if found is None:
                     found = known[w] = encode_word(w, rank)
                 ids.append(found)
-            out.append(Packer().put(np.array([len(x) for x in ids], np.uint32))
-                       .put(np.fromiter(chain.from_iterable(ids), np.int32)).squeezed())
+            flat = np.fromiter(chain.from_iterable(ids), np.int32)
+            size = np.array([len(x) for x in ids], np.uint32)
+            out.append(Packer().put(planes(size)).put(planes(flat)).squeezed())
         return pa.table({"block": table["block"], "bucket": table["bucket"], "data": pa.array(out, pa.binary())})
 
     def assemble(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         order = np.argsort(replies["bucket"].to_numpy())
         data = replies["data"].to_pylist()
-        sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        sizes, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for i in order:
             p = Packer.of_squeezed(data[i])
-            sizes.append(p.get(np.uint32)), ids.append(p.get(np.int32))
+            sizes.append(whole(p.get(np.uint8))), ids.append(whole(p.get(np.uint8)))
         size, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
         begin = np.cumsum(size) - size
         if blocks.num_rows != 1:
@@ -223,7 +240,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         own, n = pa.ipc.open_stream(pa.py_buffer(p.get(np.uint8))).read_all(), p.get(np.int64)
         if int(p.get(np.int64)[0]) != len(size):
             raise RuntimeError("a block's words don't fit its documents: the input's partitions have changed")
-        seq = p.get(np.uint32)
+        seq = whole(p.get(np.uint8))
         per_word = size[seq]
         cut = np.r_[0, np.cumsum(n)]
         at = np.r_[0, np.cumsum(per_word)][cut]
@@ -254,11 +271,8 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
         token = table.value.__getitem__
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            flat = ids.flatten().to_pylist()
-            ends = np.cumsum(np.nan_to_num(np.array(ids.value_lengths().fill_null(0)))).astype(int).tolist()
-            missing = ids.is_null().to_pylist()
-            out = [None if gone else b"".join(map(token, flat[a:b]))
-                   for a, b, gone in zip([0, *ends], ends, missing)]
+            out = [None if gone else b"".join(map(token, ids[i].values.to_numpy().tolist()))
+                   for i, gone in enumerate(ids.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              [*batch.schema.names, "decoded"])
 

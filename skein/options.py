@@ -6,7 +6,7 @@ object: nothing is read from global state.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the reference's behaviour (defaults and separator list).
 DEFAULT_CHUNK_SIZE = 512
@@ -27,8 +27,6 @@ class Options:
 
     # retrieval
     candidates_k: int = 20          # per sub-query, vector and full-text each
-    search_k: int = 10              # plain `search` API
-    fts_limit: int = 10
     top_k: int = 3                  # final documents kept by the query job
     rrf_k: float = 20.0             # fusion constant (the retrieval depth)
     fusion_mode: str = "distance"   # 'distance' (reference) or 'rank' (classic RRF)
@@ -54,7 +52,8 @@ class Options:
 
     # topics
     min_cluster_size: int = 5
-    n_topics: int | None = None
+    n_topics: int | None = None     # None: round(sqrt(rows / 2)), at least 2
+    kmeans_max_iter: int = 100      # Lloyd steps at most; they stop earlier when no centre moves
     clustering_method: str = "kmeans"
     label_method: str = "hybrid"
     n_terms: int = 10
@@ -63,9 +62,9 @@ class Options:
     # execution: sizes that decide between a broadcast and a shuffle, and block sizes of blocked operators
     broadcast_max_rows: int = 200_000
     knn_items_per_block: int = 50_000
-    knn_queries_per_block: int = 2_048
+    knn_broadcast_bytes: int = 64 << 20     # query vectors broadcast at once, or per query block beyond
+    bm25_queries_per_block: int = 4_096
     bm25_rows_per_block: int = 20_000
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Options":
         return replace(self, **kw)

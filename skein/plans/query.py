@@ -32,15 +32,17 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DE
     ``summarize(prompt_col)->string`` for the summary-first context (M9); null keeps the plain context.
     """
     embedder = embedder or HashingEmbedder(opts.embedding_dim)
-    analysis = fusion.analyze(questions, opts, rewriter)
+    # The question side is small and read by every later step: analysed (and rewritten) once, embedded once.
+    analysis = fusion.analyze(questions, opts, rewriter).checkpoint()
     subq = fusion.sub_queries(analysis)
+    query_vec = subq.select("qk", embedder.embed(F.col("sub_query")).alias("qvec")).checkpoint()
     if reducer is not None:
         has_reduced = chunks.where(F.col("reduced_embedding").isNotNull() & (F.size("reduced_embedding") > 0)) \
             .limit(1).count() > 0
         reducer = reducer if has_reduced else None
     postings, stats_ = fts_index if fts_index is not None else (None, None)
-    hits = fusion.retrieve(chunks, subq, opts, embedder, vec_col=vec_col, reducer=reducer, postings=postings,
-                           stats=stats_)
+    hits = fusion.retrieve(chunks, subq, opts, embedder, vec_col=vec_col, query_vec=query_vec, reducer=reducer,
+                           postings=postings, stats=stats_)
     # Retrieval ends in a small frame (questions x sub-queries x 2k rows at most): materialise it once in the shared
     # checkpoint folder so the size check and the later steps do not recompute the searches.
     fused = fusion.fuse(hits, opts).checkpoint()

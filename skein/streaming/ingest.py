@@ -18,9 +18,11 @@ from ..sources.store import ChunkStore
 from ..util import ensure_parallel
 
 
-def document_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Parquet files of documents (doc_id, text, source, ...) as a stream; one file per trigger step."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def document_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Parquet files of documents (doc_id, text, source, ...) as a stream; ``max_files`` bounds a micro-batch (default:
+    all new files at once, so the store is read once per run and not once per file)."""
+    reader = spark.readStream.schema(schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
 
 
 def to_files(docs: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def to_files(docs: DataFrame) -> DataFrame:
 
 
 def run_ingest(spark: SparkSession, source: str, schema, store: ChunkStore, opts: Options = DEFAULTS,
-               checkpoint: str | None = None, embedder=None) -> None:
+               checkpoint: str | None = None, embedder=None, max_files: int | None = None) -> None:
     """Index everything available under ``source`` into ``store``, then stop."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
 
@@ -37,6 +39,6 @@ def run_ingest(spark: SparkSession, source: str, schema, store: ChunkStore, opts
         files = ensure_parallel(to_files(batch), "file_path")
         store.add_new(build_chunk_table(files, opts, embedder))
 
-    q = (document_stream(spark, source, schema).writeStream.foreachBatch(each_batch)
+    q = (document_stream(spark, source, schema, max_files).writeStream.foreachBatch(each_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

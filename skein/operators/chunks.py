@@ -77,10 +77,12 @@ def chunk_mixed(spark, paths: DataFrame | None = None, texts: DataFrame | None =
     parts = []
     if paths is not None:
         from ..sources.files import extract_text
-        files = spark.read.format("binaryFile").load([r[0] for r in paths.select(paths.columns[0]).collect()]) \
-            if paths.count() else None
-        if files is not None:
-            parts.append(extract_text(files).select("file_path", "text"))
+        # the folders (few) are listed by Spark, and the wanted files (many) joined to what they hold
+        wanted = paths.select(F.regexp_replace(F.col(paths.columns[0]), "^file:", "").alias("_p")).distinct()
+        folders = [r[0] for r in wanted.select(F.regexp_replace("_p", "/[^/]*$", "")).distinct().collect()]
+        if folders:
+            files = spark.read.format("binaryFile").load(folders).withColumn("_p", F.regexp_replace("path", "^file:/*", "/"))
+            parts.append(extract_text(files.join(wanted, "_p", "left_semi")).select("file_path", "text"))
     if texts is not None:
         parts.append(texts.select(F.lit("inline_text").alias("file_path"), F.col(texts.columns[0]).alias("text")))
     if docs is not None:

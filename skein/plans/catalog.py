@@ -284,6 +284,50 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("query_id", F.col("id").alias("neighbor_id"), "distance", F.col("rank").cast("long").alias("rank"))
 
 
+def _knn_sql(distance: str, src: str = "embeddings", extra: str = "TRUE", pre: str = "", key: str = "vec_id") -> str:
+    return f"""
+WITH {pre} d AS (SELECT a.{key} AS query_id, b.{key} AS neighbor_id, round({distance}, 6) AS distance
+           FROM {src} a CROSS JOIN {src} b
+           WHERE len(a.embedding) > 0 AND len(a.embedding) = len(b.embedding) AND {extra})
+SELECT query_id, neighbor_id, distance, rank::BIGINT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+WHERE rank <= 10
+"""
+
+
+def _knn(spark: SparkSession, sf_dir: str, frame: DataFrame | None = None, **kw) -> DataFrame:
+    e = frame if frame is not None else tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    r = search.knn_search(e, e.withColumnRenamed("id", "query_id"), 10, **kw)
+    return r.select("query_id", F.col("id").alias("neighbor_id"), "distance", F.col("rank").cast("long").alias("rank"))
+
+
+@register("knn_blocked", _knn_sql("list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
+def knn_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 with blocks of queries against blocks of items, as for query sets beyond the broadcast bound."""
+    return _knn(spark, sf_dir, opts=DEFAULTS.with_(knn_broadcast_bytes=64 << 10, knn_items_per_block=150))
+
+
+@register("knn_cosine", _knn_sql("1.0::DOUBLE - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + H16: cosine distance."""
+    return _knn(spark, sf_dir, metric="cosine")
+
+
+@register("knn_dot", _knn_sql("-list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
+def knn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + H16: negative dot product."""
+    return _knn(spark, sf_dir, metric="dot")
+
+
+@register("bm25_blocked", BM25_SQL)
+def bm25_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with small blocks of rows and of questions, as for large question sets."""
+    docs = tables.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    hits = search.bm25_search(docs, tables.benchmark_questions(spark, sf_dir), 20,
+                              opts=DEFAULTS.with_(bm25_rows_per_block=90, bm25_queries_per_block=16))
+    return hits.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 # --------------------------------------------------------------------------------------- H1 (fixed), W3, S5, H7
 
 FIXED_CHUNKS_SQL = rf"""
@@ -398,19 +442,28 @@ def trim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 THINK_SQL = r"""
-SELECT conv_id, turn,
-       md5(regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'),
+WITH t AS (SELECT conv_id, turn, text, length(text) % 4 AS form FROM conversations),
+a AS (SELECT conv_id, turn, CASE form WHEN 0 THEN '<think>' || role_hint || chr(10) || 'x</think>' || chr(10) || text || ' <think></think>'
+                                      WHEN 1 THEN '  ' || text || '<think>open'
+                                      WHEN 2 THEN text || '</think>'
+                                      ELSE text END AS x
+      FROM (SELECT *, substring(text, 1, 20) AS role_hint FROM t))
+SELECT conv_id, turn, md5(regexp_replace(regexp_replace(x, '(?s)<think>.*?</think>', '', 'g'),
                           '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g')) AS answer_md5
-FROM conversations WHERE role = 'assistant'
+FROM a
 """
 
 
 @register("strip_think", THINK_SQL)
 def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H6 over every assistant turn of ``conversations``."""
+    """H6 over every turn of ``conversations``, given blocks, open and closing tags by the turn's length."""
     from ..functions.text import strip_think_tags
-    c = tables.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    return c.select("conv_id", "turn", F.md5(strip_think_tags(F.col("text"))).alias("answer_md5"))
+    t, form = F.col("text"), F.length("text") % 4
+    x = (F.when(form == 0, F.concat(F.lit("<think>"), F.substring(t, 1, 20), F.lit("\nx</think>\n"), t, F.lit(" <think></think>")))
+         .when(form == 1, F.concat(F.lit("  "), t, F.lit("<think>open")))
+         .when(form == 2, F.concat(t, F.lit("</think>"))).otherwise(t))
+    c = tables.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(strip_think_tags(x)).alias("answer_md5"))
 
 
 # --------------------------------------------------------------------------------------------------- S2: HTML text
@@ -422,8 +475,10 @@ b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h,
         '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
         '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g') AS h FROM a),
 c AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS h FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'),
-        '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS h FROM c),
+d0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
+        '&nbsp;?', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'),
+        '&middot;?', '·', 'g') AS h FROM c),
+d AS (SELECT page_id, regexp_replace(replace(replace(h, '&#39;', ''''), '&apos;', ''''), '&amp;?', '&', 'g') AS h FROM d0),
 e AS (SELECT page_id, trim(regexp_replace(h, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM d)
 SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS text_len, substring(t, 1, 80) AS head FROM e
 """
@@ -441,13 +496,32 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------- A8, P3, P4: quality
 
-QUALITY_SQL = """
-WITH c AS (SELECT embedding AS e,
+# The vectors of ``embeddings``, those of some labels made missing, short, or given a null, NaN or infinite element, so
+# that every class of vector occurs.
+DIRTY_SQL = """dirty AS (SELECT vec_id, CASE label % 10 WHEN 3 THEN NULL WHEN 4 THEN []::DOUBLE[]
+    WHEN 5 THEN list_concat(embedding::DOUBLE[][2:], ['nan'::DOUBLE]) WHEN 6 THEN list_concat(embedding::DOUBLE[][2:], ['inf'::DOUBLE])
+    WHEN 7 THEN list_concat(embedding::DOUBLE[][2:], [NULL::DOUBLE]) WHEN 8 THEN embedding::DOUBLE[][2:]
+    ELSE embedding::DOUBLE[] END AS embedding FROM embeddings)"""
+
+
+def dirty_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding array<double>) as ``DIRTY_SQL``."""
+    e, v = F.col("label") % 10, F.col("embedding").cast("array<double>")
+    rest = F.slice(v, 2, F.size(v))
+    bad = (F.when(e == 3, F.lit(None)).when(e == 4, F.array().cast("array<double>"))
+           .when(e == 5, F.concat(rest, F.array(F.lit(float("nan"))))).when(e == 6, F.concat(rest, F.array(F.lit(float("inf")))))
+           .when(e == 7, F.concat(rest, F.array(F.lit(None).cast("double")))).when(e == 8, rest).otherwise(v))
+    return tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bad.alias("embedding"))
+
+
+QUALITY_SQL = f"""
+WITH {DIRTY_SQL},
+c AS (SELECT embedding AS e,
                   CASE WHEN embedding IS NULL OR len(embedding) = 0 THEN 'missing'
                        WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL)) THEN 'invalid'
                        WHEN list_bool_or(list_transform(embedding, lambda x: isnan(x))) THEN 'nan'
                        WHEN list_bool_or(list_transform(embedding, lambda x: isinf(x))) THEN 'infinite'
-                       ELSE 'valid' END AS c FROM embeddings),
+                       ELSE 'valid' END AS c FROM dirty),
 dims AS (SELECT len(e) AS d, count(*) AS n FROM c WHERE c <> 'missing' GROUP BY 1 ORDER BY n DESC, d LIMIT 1)
 SELECT count(*)::BIGINT AS total, count_if(c = 'missing')::BIGINT AS missing, count_if(c = 'invalid')::BIGINT AS invalid,
        count_if(c = 'nan')::BIGINT AS nan, count_if(c = 'infinite')::BIGINT AS infinite,
@@ -458,13 +532,41 @@ FROM c
 
 @register("embedding_quality", QUALITY_SQL)
 def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8 + P4: vector quality counts and the most common dimension of ``embeddings``."""
+    """A8 + P3 + P4: vector quality counts and the most common dimension, every class of bad vector occurring."""
     from ..operators import reduce as rd
-    e = tables.table(spark, sf_dir, "embeddings")
+    e = dirty_embeddings(spark, sf_dir)
     dim = rd.most_common_dim(e)
     return rd.quality_counts(e).withColumn("common_dim", F.lit(dim).cast("long"))
 
 
+_FINITE = ("NOT list_bool_or(list_transform({x}.embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))")
+
+
+@register("knn_dirty", _knn_sql("list_distance(a.embedding, b.embedding)", "dirty",
+                                f"{_FINITE.format(x='a')} AND {_FINITE.format(x='b')}", DIRTY_SQL + ","))
+def knn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 + P3 over vectors of every class: missing, empty, short, with null, NaN and infinite elements."""
+    return _knn(spark, sf_dir, dirty_embeddings(spark, sf_dir))
+
+
+# A11 over a model trained on the documents of all but two languages.
+STALE_SQL = """
+WITH c AS (SELECT round(100.0 * count_if(lang IN ('en', 'fr')) / count(*), 1)::DOUBLE AS coverage FROM documents)
+SELECT coverage AS coverage_percentage, 100.0 - coverage AS staleness_percentage, 100.0 - coverage > 30 AS needs_retraining,
+       CASE WHEN 100.0 - coverage > 30 THEN 'Model covers only ' || coverage::VARCHAR || '% of documents'
+            ELSE 'Model is up to date' END AS reason FROM c
+"""
+
+
+@register("reducer_staleness", STALE_SQL)
+def reducer_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on a model trained on the documents of two languages, over all documents."""
+    from ..operators.reduce import staleness
+    d = tables.table(spark, sf_dir, "documents")
+    trained = d.where(F.col("lang").isin("en", "fr")).agg(F.count(F.lit(1)).alias("document_count"))
+    return staleness(trained, d)
+
+
 # -------------------------------------------------------------------------------------------- P5, K6: paging
 
 PAGE_SQL = """
@@ -550,17 +652,20 @@ def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTERS_SQL = rf"""
 WITH {SQL_CHUNKS},
 emb AS (SELECT * FROM ch WHERE len({sql_tokens('chunk_text')}) > 0)
-SELECT (SELECT count(*) FROM documents)::BIGINT AS files_processed,
-       (SELECT count(*) FROM emb)::BIGINT AS chunks_created,
-       0::BIGINT AS errors
+SELECT (SELECT count(*) FROM documents WHERE source <> 'src3')::BIGINT AS files_processed,
+       (SELECT count(*) FROM emb WHERE file_path NOT LIKE '/src3/%')::BIGINT AS chunks_created,
+       (SELECT count(*) FROM documents WHERE source = 'src3')::BIGINT AS errors
 """
 
 
 @register("index_counters", COUNTERS_SQL)
 def index_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files processed (blank ones included), chunks created (embedded), errors."""
+    """A7 over all documents, those of one source given as files that failed: files processed (blank ones included),
+    chunks created (embedded), errors."""
     from .jobs import index_counters as counters
-    return counters(tables.document_files(spark, sf_dir), SQL_CHUNKING)
+    files = tables.document_files(spark, sf_dir)
+    failed = F.when(F.col("file_path").startswith("/src3/"), F.lit("unsupported format"))
+    return counters(files.withColumn("error", failed), SQL_CHUNKING)
 
 
 # ------------------------------------------------------------------------- M16, W6, M17, A10: topics by language
@@ -712,21 +817,24 @@ def topics_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- M10, M11, A9: the reducer
 
-REDUCE_COUNTS_SQL = """
-WITH c AS (SELECT CASE WHEN embedding IS NOT NULL AND len(embedding) = (
-                  SELECT d FROM (SELECT len(embedding) AS d, count(*) AS n FROM embeddings
+REDUCE_COUNTS_SQL = f"""
+WITH {DIRTY_SQL},
+c AS (SELECT coalesce(len(embedding), 0) = 0 AS none,
+             coalesce(embedding IS NOT NULL AND len(embedding) = (
+                  SELECT d FROM (SELECT len(embedding) AS d, count(*) AS n FROM dirty
                                  WHERE len(embedding) > 0 GROUP BY 1 ORDER BY n DESC, d LIMIT 1))
-                  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
-                  THEN 1 ELSE 0 END AS ok FROM embeddings)
-SELECT sum(ok)::BIGINT AS processed, (count(*) - sum(ok))::BIGINT AS skipped, 0::BIGINT AS errors FROM c
+                  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))), false) AS ok
+      FROM dirty)
+SELECT count_if(ok)::BIGINT AS processed, count_if(none)::BIGINT AS skipped,
+       count_if(NOT ok AND NOT none)::BIGINT AS errors FROM c
 """
 
 
 @register("reduce_counts", REDUCE_COUNTS_SQL)
 def reduce_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10 + M11 + A9: fit the reducer on ``embeddings`` and apply it; processed / skipped / error counts."""
+    """M10 + M11 + A9: fit the reducer on vectors of every class and apply it; processed / skipped / error counts."""
     from ..operators import reduce as rd
-    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    e = dirty_embeddings(spark, sf_dir)
     r = rd.fit(e, "embedding", DEFAULTS)
     return rd.apply_counts(r.transform_column(e))
 

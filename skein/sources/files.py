@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as tx
 
@@ -38,33 +42,34 @@ def is_text(content, path) -> Column:
 def extract_text(files: DataFrame) -> DataFrame:
     """S2 (plain text): (file_path, text, file_name, file_type, file_size, file_modified, error).
 
-    Text formats decode as UTF-8; HTML is reduced to its visible text (``html_to_text``); formats that need a
+    Text formats must be UTF-8 (a file that isn't has a null text and an error); HTML is reduced to its visible text (``html_to_text``); formats that need a
     document parser (PDF, Office) yield a null text and an error, which the index job counts (A7).
     """
     path = F.regexp_replace(F.col("path"), "^file:", "")
     ft = tx.file_type(path)
-    raw = F.decode(F.col("content"), "UTF-8")
+    raw = F.col("content").cast("string")  # the bytes as they are; checked below
+    good = F.is_valid_utf8(raw)
     textual = ft.isin([e.lstrip(".") for e in tx.PLAIN_TEXT_EXTENSIONS] + ["csv", "json", "xml"])
-    html = ft.isin("html", "htm")
-    text = F.when(textual, raw).when(html, html_to_text(raw))
+    page = ft.isin("html", "htm")
+    text = F.when(good & textual, raw).when(good & page, html_to_text(raw))
+    error = F.when(~(textual | page), F.lit("unsupported format")).when(~good, F.lit("not UTF-8 text"))
     return files.select(path.alias("file_path"), text.alias("text"), tx.basename(path).alias("file_name"),
                         ft.alias("file_type"), F.col("length").alias("file_size"),
-                        F.col("modificationTime").alias("file_modified"),
-                        F.when(~(textual | html), F.lit("unsupported format")).alias("error"))
+                        F.col("modificationTime").alias("file_modified"), error.alias("error"))
 
 
-# The HTML character references decoded by the text extractor.
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&amp;", "&"))
+@F.pandas_udf(StringType())
+def decode_references(text: pd.Series) -> pd.Series:
+    """HTML character references, named and numeric, as a browser decodes them; null stays null."""
+    return text.map(html.unescape, na_action="ignore")
 
 
-def html_to_text(html) -> Column:
-    """S2 (HTML): drop comments, script/style/noscript blocks and tags, decode the common entities (&amp; last),
-    collapse whitespace, strip."""
-    h = html if isinstance(html, Column) else F.col(html)
+def html_to_text(page) -> Column:
+    """S2 (HTML): drop comments, script/style/noscript blocks and tags, decode character references, collapse
+    whitespace, strip."""
+    h = page if isinstance(page, Column) else F.col(page)
     h = F.regexp_replace(h, r"(?s)<!--.*?-->", " ")
     h = F.regexp_replace(h, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
     h = F.regexp_replace(h, r"(?s)<[^>]*>", " ")
-    for ent, ch in HTML_ENTITIES:
-        h = F.replace(h, F.lit(ent), F.lit(ch))
+    h = F.translate(decode_references(h), "\u00a0", " ")
     return F.trim(F.regexp_replace(h, f"{tx.WS}+", " "))

@@ -1,51 +1,40 @@
-"""The chunk table on Parquet (CHUNK_SCHEMA), as append-only segments."""
+"""The chunk table on Parquet (CHUNK_SCHEMA), one folder per version."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CHUNK_SCHEMA
+from ..util import matching
 
 
 class ChunkStore:
-    """A chunk table stored as append-only Parquet segments listed in a pointer file.
-
-    Appends write a new segment and add it to the list; the reduced-vector update writes one new segment holding the
-    whole table and replaces the list. No segment is ever written while it is read.
+    """A chunk table under ``root/v<number>``: appends are Parquet appends to the newest version, the reduced-vector
+    update writes the whole table as the next version. The newest version that was written completely (Spark's
+    ``_SUCCESS``) is the table, so an update that fails half-way leaves the old one in place.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    # -- locating the current segments ---------------------------------------------------------------------------
-    def _pointer(self) -> str:
-        return f"{self.root}/_SEGMENTS"
-
-    def segments(self) -> list[str]:
-        try:
-            rows = self.spark.read.text(self._pointer()).collect()  # one short line per segment
-        except Exception:  # noqa: BLE001 -- no pointer yet
-            return []
-        return [r[0].strip() for r in rows if r[0].strip()]
-
-    def _set_segments(self, segs: list[str]) -> None:
-        self.spark.createDataFrame([(x,) for x in segs], "v string").coalesce(1).write.mode("overwrite").text(
-            self._pointer())
+    # -- locating the current version -----------------------------------------------------------------------------
+    def version(self) -> int | None:
+        """Number of the newest complete version, None for a store that has none yet."""
+        done = [p.rsplit("/", 2)[1] for p in matching(self.spark, f"{self.root}/v*/_SUCCESS")]
+        return max((int(v[1:]) for v in done if v[1:].isdigit()), default=None)
 
     def exists(self) -> bool:
         """S8."""
-        return bool(self.segments())
+        return self.version() is not None
 
     # -- reads ----------------------------------------------------------------------------------------------------
     def read(self) -> DataFrame:
         """S7 full scan; S8: a missing store reads as an empty table."""
-        segs = self.segments()
-        if not segs:
+        v = self.version()
+        if v is None:
             return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(*[f"{self.root}/{v}" for v in segs])
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.root}/v{v}")
 
     def embeddings_page(self, limit: int | None = None, offset: int = 0) -> DataFrame:
         """P5/K6: (id, embedding, reduced_embedding) ordered by id, with offset and limit."""
@@ -63,31 +52,36 @@ class ChunkStore:
         return df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
 
     # -- writes ---------------------------------------------------------------------------------------------------
-    def _write_segment(self, rows: DataFrame) -> str:
-        v = f"seg-{uuid.uuid4().hex[:16]}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields]).write.parquet(f"{self.root}/{v}")
-        return v
-
-    def add(self, chunks: DataFrame) -> str:
-        """Append rows (metadata already JSON) as a new segment; returns its name."""
-        before = self.segments()
-        v = self._write_segment(chunks)
-        self._set_segments(before + [v])
-        return v
+    def add(self, chunks: DataFrame) -> int:
+        """Append rows (metadata already JSON); returns their number. No rows are no write; vectors of another
+        length than the stored ones, or of several lengths, are refused."""
+        rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields]).checkpoint()
+        size = F.when(F.size("embedding") > 0, F.size("embedding"))
+        new = rows.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("a"), F.max(size).alias("b")).first()
+        if not new["n"]:
+            return 0
+        stored = self.read().where(F.size("embedding") > 0).select(F.size("embedding").alias("d")).first()
+        lengths = {new["a"], new["b"], stored["d"] if stored else None} - {None}
+        if len(lengths) > 1:
+            raise ValueError(f"embeddings of different lengths in one store: {sorted(lengths)}")
+        v = self.version()
+        rows.write.mode("append").parquet(f"{self.root}/v{1 if v is None else v}")
+        return int(new["n"])
 
     def add_new(self, chunks: DataFrame) -> DataFrame:
         """Append only chunks whose content id is not stored yet; returns the rows that were new.
 
-        The anti-join reads the existing segments and the write goes to a new one, so a replayed batch adds nothing.
-        """
-        new = chunks.join(self.read().select("id"), "id", "left_anti") if self.exists() else chunks
-        v = self.add(new)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.root}/{v}")
+        The new rows are materialised before the append, so a replayed batch adds nothing."""
+        known = self.read().select("id")
+        new = chunks.dropDuplicates(["id"]).join(known, "id", "left_anti").checkpoint()
+        self.add(new)
+        return new
 
     def update_reduced(self, updates: DataFrame) -> None:
-        """Set reduced_embedding by id, keep every other row and field as it was; one new segment."""
-        v = self._write_segment(update_reduced(self.read(), updates))
-        self._set_segments([v])
+        """Set reduced_embedding by id, keep every other row and field as it was; one new version."""
+        v = self.version()
+        if v is not None:
+            update_reduced(self.read(), updates).write.mode("overwrite").parquet(f"{self.root}/v{v + 1}")
 
 
 def page(df: DataFrame, order_col: str, limit: int | None, offset: int = 0) -> DataFrame:

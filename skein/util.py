@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The check is a bounded count (``limit(max_rows + 1)``), so it never scans more than that many rows of the small
-    side. Beyond the bound the frame is returned as is and Spark plans a shuffle join (AQE may still pick a broadcast
+    The check is a bounded count (``limit(max_rows + 1)``): a scan stops after that many rows, but what must run before
+    a row comes out (an aggregation, a join) runs in full, so pass derived frames materialised. Beyond the bound the frame is returned as is and Spark plans a shuffle join (AQE may still pick a broadcast
     from runtime sizes, and splits skewed partitions).
     """
     n = df.limit(max_rows + 1).count()
@@ -34,3 +34,15 @@ def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, key)
     return df
+
+
+def path_exists(spark, path: str) -> bool:
+    """Whether a file, folder or pattern matches anything, in any store that Spark reads."""
+    return bool(matching(spark, path))
+
+
+def matching(spark, pattern: str) -> list[str]:
+    """The paths a pattern matches; only "nothing there" is an empty list, any other trouble is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(f.getPath()) for f in found or []]

@@ -45,6 +45,21 @@ def test_collect_and_extract(spark):
     assert flags["ruby.txt"] and not flags["image.bin"]
 
 
+def test_bad_bytes_and_references(spark):
+    d = tempfile.mkdtemp(prefix="skein-files-")
+    for name, data in (("good.txt", "é".encode()), ("latin.txt", "é".encode("latin-1")),
+                       ("page.html", b"<p>&copy; a&nbsp;&middot; &#233;&#x2014;&eacute;</p>")):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    got = {r.file_name: r for r in extract_text(collect_files(spark, d)).collect()}
+    assert got["good.txt"].text == "é" and got["good.txt"].error is None
+    assert got["latin.txt"].text is None and got["latin.txt"].error == "not UTF-8 text"
+    assert got["page.html"].text == "© a · é—é"
+    store = ChunkStore(spark, scratch_path(spark, "bad"))
+    c = index_files(extract_text(collect_files(spark, d)), store, DEFAULTS)
+    assert (c["files_processed"], c["errors"]) == (2, 1)
+
+
 def test_index_job_and_answers(spark):
     d = make_dir()
     files = extract_text(collect_files(spark, d))

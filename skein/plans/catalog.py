@@ -69,12 +69,17 @@ def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------ E3 flagship: answers
 
 def chunk_table(spark: SparkSession, sf_dir: str, opts=None, materialize: bool = True):
-    """Chunk table over ``documents`` (fixed windows unless opts say otherwise), materialised in the checkpoint
-    folder when it is read several times (retrieval reads it for vectors, terms and texts)."""
+    """Chunk table over ``documents`` (fixed windows unless opts say otherwise), written as Parquet to the shared
+    scratch folder when it is read several times: each read takes only the columns it needs."""
     from ..operators.chunks import build_chunk_table
+    from ..session import scratch_path
     opts = opts or SQL_CHUNKING
     t = build_chunk_table(tables.document_files(spark, sf_dir), opts)
-    return t.checkpoint() if materialize else t
+    if not materialize:
+        return t
+    path = scratch_path(spark, "chunks")
+    t.write.parquet(path)
+    return spark.read.schema(t.schema).parquet(path)
 
 
 # The SQL-checked queries use the separator-free splitter (fixed windows of 512 with overlap 50), the form SQL can
@@ -127,42 +132,52 @@ rs AS (SELECT *, CASE WHEN len(terms) > 0
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS npos FROM rs),
 ranked AS (SELECT * EXCLUDE (pos, npos), npos AS pos FROM rr WHERE npos <= 6),"""
 
-def rag_sql(questions: str, rerank: bool = False) -> str:
-    """DuckDB SQL of the answer job; ``questions`` selects (query_id, query_text)."""
+# The question as it is: what analysis gives without a rewriter.
+SQL_PLAIN = {"clarified": "query_text", "need": "'moderate'", "subs": "[query_text]"}
+
+
+def rag_sql(questions: str, rerank: bool = False, analysis: dict = SQL_PLAIN, top_k: int = 3, chars: int = 8000) -> str:
+    """DuckDB SQL of the answer job; ``questions`` selects (query_id, query_text), ``analysis`` holds the expressions of
+    the clarified question, the context need and the sub-queries."""
     ranked = RERANK_SQL if rerank else "ranked AS (SELECT * FROM ranked0),"
     return rf"""
 WITH {SQL_CHUNKS},
 qs AS ({questions}),
+an AS (SELECT query_id, query_text, {analysis["clarified"]} AS clarified, {analysis["need"]} AS need,
+              {analysis["subs"]} AS subs FROM qs),
+sq AS (SELECT query_id, sub_idx, sub_query, query_id::VARCHAR || ':' || sub_idx::VARCHAR AS qk
+       FROM (SELECT query_id, unnest(subs) AS sub_query, generate_subscripts(subs, 1) - 1 AS sub_idx FROM an)),
 {sql_hash_embed('ch', 'id', 'chunk_text', 256, 'cv')},
-{sql_hash_embed('qs', 'query_id', 'query_text', 256, 'qv')},
-vd AS (SELECT q.k AS query_id, c.k AS id, round(list_distance(q.vec, c.vec), 6) AS distance
+{sql_hash_embed('sq', 'qk', 'sub_query', 256, 'qv')},
+vd AS (SELECT q.k AS qk, c.k AS id, round(list_distance(q.vec, c.vec), 6) AS distance
        FROM qv q CROSS JOIN cv c),
-vh AS (SELECT query_id, id, distance,
-              row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vd),
+vh AS (SELECT qk, id, distance, row_number() OVER (PARTITION BY qk ORDER BY distance, id) AS rank FROM vd),
 cdoc AS (SELECT id, {sql_tokens('chunk_text')} AS t FROM ch),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avgdl FROM cdoc),
 post AS (SELECT id, dl, term, count(*) AS tf
          FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM cdoc) GROUP BY id, dl, term),
-qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({sql_tokens('query_text')}) AS term FROM qs)),
+qt AS (SELECT DISTINCT qk, term FROM (SELECT qk, unnest({sql_tokens('sub_query')}) AS term FROM sq)),
 dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
-fsc AS (SELECT q.query_id, p.id,
+fsc AS (SELECT q.qk, p.id,
                round(sum(ln(1.0::DOUBLE + (st.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE))
                          * p.tf * 2.2::DOUBLE
                          / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / st.avgdl))), 6) AS score
         FROM qt q JOIN post p ON p.term = q.term JOIN dfs d ON d.term = q.term CROSS JOIN st
-        GROUP BY q.query_id, p.id),
-fh AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fsc),
-hits AS (SELECT query_id, id, rank, distance, (0 * 100000 + rank)::BIGINT AS seq FROM vh WHERE rank <= 20
+        GROUP BY q.qk, p.id),
+fh AS (SELECT qk, id, row_number() OVER (PARTITION BY qk ORDER BY score DESC, id) AS rank FROM fsc),
+hits AS (SELECT query_id, id, rank, distance, ((sub_idx * 2) * 100 + rank)::BIGINT AS seq
+         FROM vh JOIN sq USING (qk) WHERE rank <= 20
          UNION ALL
-         SELECT query_id, id, rank, 0.1::DOUBLE + 0.05::DOUBLE * (rank - 1), (1 * 100000 + rank)::BIGINT
-         FROM fh WHERE rank <= 20),
+         SELECT query_id, id, rank, 0.1::DOUBLE + 0.05::DOUBLE * (rank - 1), ((sub_idx * 2 + 1) * 100 + rank)::BIGINT
+         FROM fh JOIN sq USING (qk) WHERE rank <= 20),
 fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (20.0::DOUBLE + 100.0::DOUBLE * distance)) AS score,
                  min(seq) AS seq, arg_min(distance, seq) AS distance FROM hits GROUP BY query_id, id),
 ranked0 AS (SELECT f.*, c.chunk_text, c.file_path, c.chunk_index,
                   row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.score, 9) DESC, f.seq, f.id) AS pos
            FROM fused f JOIN ch c ON c.id = f.id),
 {ranked}
-ctx AS (SELECT * FROM ranked WHERE pos <= 3),
+ctx AS (SELECT ranked.* FROM ranked JOIN an USING (query_id)
+        WHERE pos <= least({top_k}, CASE need WHEN 'extensive' THEN 5 WHEN 'moderate' THEN 4 ELSE 3 END)),
 grp AS (SELECT query_id, coalesce(file_path, 'unknown') AS src, min(pos) AS fpos,
                string_agg(CASE WHEN coalesce(chunk_text, '') <> '' THEN chunk_text END, ' ... ' ORDER BY pos) AS j
         FROM ctx GROUP BY 1, 2),
@@ -171,10 +186,10 @@ parts AS (SELECT query_id, fpos, 'Source: ' || regexp_extract(src, '([^/]*)/*$',
 packed0 AS (SELECT query_id,
                    string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY fpos) AS full
             FROM parts GROUP BY query_id),
-sl AS (SELECT p.query_id, q.query_text,
+sl AS (SELECT p.query_id, q.clarified AS query_text,
               list_filter(string_split(regexp_replace(p.full, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'),
                                        chr(1)), lambda s: s <> '') AS l
-       FROM packed0 p JOIN qs q USING (query_id) WHERE length(p.full) > 8000),
+       FROM packed0 p JOIN an q USING (query_id) WHERE length(p.full) > {chars}),
 sents AS (SELECT query_id, query_text, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM sl),
 scored AS (SELECT query_id, s, pos,
                   len(list_filter(list_filter(string_split_regex(lower(query_text), '[^a-zA-Z0-9_]+'),
@@ -182,17 +197,17 @@ scored AS (SELECT query_id, s, pos,
            FROM sents),
 run AS (SELECT *, sum(length(s)) OVER (PARTITION BY query_id ORDER BY score DESC, pos
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM scored),
-trimmed AS (SELECT query_id, string_agg(s, ' ' ORDER BY score DESC, pos) AS t FROM run WHERE total <= 8000
+trimmed AS (SELECT query_id, string_agg(s, ' ' ORDER BY score DESC, pos) AS t FROM run WHERE total <= {chars}
             GROUP BY query_id),
-packed AS (SELECT p.query_id, CASE WHEN length(p.full) > 8000 THEN coalesce(t.t, '') ELSE p.full END AS context
+packed AS (SELECT p.query_id, CASE WHEN length(p.full) > {chars} THEN coalesce(t.t, '') ELSE p.full END AS context
            FROM packed0 p LEFT JOIN trimmed t USING (query_id)),
 srcs AS (SELECT query_id, string_agg(file_path || '#' || chunk_index::VARCHAR, ';' ORDER BY pos) AS sources,
                 count(*) AS n_sources FROM ctx WHERE file_path IS NOT NULL GROUP BY query_id),
 conf AS (SELECT query_id, round(greatest(1.0 - avg(distance) / 2.0, 0.0) * 100.0, 1) AS confidence
-         FROM ranked WHERE pos <= 3 GROUP BY query_id),
+         FROM ranked WHERE pos <= {top_k} GROUP BY query_id),
 cst AS (SELECT query_id, count(*) AS n_candidates, count(DISTINCT file_path) AS unique_sources
         FROM ranked0 GROUP BY query_id)
-SELECT q.query_id, q.query_text AS query, q.query_text AS clarified,
+SELECT q.query_id, q.query_text AS query, q.clarified,
        CASE WHEN coalesce(c.n_candidates, 0) > 0
             THEN 'Based on the retrieved information:' || chr(10) || chr(10)
                  || substring(coalesce(p.context, ''), 1, 501) || '...'
@@ -202,8 +217,8 @@ SELECT q.query_id, q.query_text AS query, q.query_text AS clarified,
        coalesce(f.confidence, 0.0)::DOUBLE AS confidence,
        coalesce(c.n_candidates, 0)::BIGINT AS n_candidates,
        coalesce(c.unique_sources, 0)::BIGINT AS unique_sources,
-       1::BIGINT AS n_sub_queries
-FROM qs q LEFT JOIN packed p USING (query_id) LEFT JOIN srcs s USING (query_id)
+       len(q.subs)::BIGINT AS n_sub_queries
+FROM an q LEFT JOIN packed p USING (query_id) LEFT JOIN srcs s USING (query_id)
      LEFT JOIN conf f USING (query_id) LEFT JOIN cst c USING (query_id)
 """
 
@@ -238,6 +253,29 @@ def rag_answers_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_questions(chunks, tables.conversation_questions(spark, sf_dir), SQL_CHUNKING)
 
 
+# Sub-queries are the clauses of three words or more, after the whole question unless it is one of them.
+SQL_STRIPPED = r"regexp_replace({x}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g')"
+SQL_CLAUSES = (r"list_filter(list_transform(string_split_regex(query_text, '[.,;:!?]+'), lambda x: "
+               + SQL_STRIPPED.format(x="x") + r"), lambda x: len(string_split_regex(x, '[ \t\n\x0B\f\r]+')) >= 3)")
+SQL_BY_CLAUSE = {
+    "clarified": sql_clean("query_text"),
+    "need": f"CASE WHEN len({SQL_CLAUSES}) >= 6 THEN 'extensive' WHEN len({SQL_CLAUSES}) >= 3 THEN 'moderate' ELSE 'minimal' END",
+    "subs": f"CASE WHEN list_contains({SQL_CLAUSES}, query_text) THEN {SQL_CLAUSES} "
+            f"ELSE list_concat([query_text], {SQL_CLAUSES}) END",
+}
+
+
+@register("rag_answers_subqueries", rag_sql(BENCH_Q, analysis=SQL_BY_CLAUSE, top_k=4, chars=1200))
+def rag_answers_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 with a rewriter that asks for each clause of a question (M3, U1, U2, A4, W2 over several sub-queries), context
+    needs on both sides of ``top_k`` (P13) and a budget that contexts exceed (H10, M8)."""
+    from ..operators.fusion import ClauseRewriter
+    from .query import answer_questions
+    opts = SQL_CHUNKING.with_(top_k=4, max_context_tokens=300)
+    chunks = chunk_table(spark, sf_dir, opts)
+    return answer_questions(chunks, tables.benchmark_questions(spark, sf_dir), opts, rewriter=ClauseRewriter())
+
+
 # ----------------------------------------------------------------------------------------------- E2, P11: search
 
 SEARCH_SQL = rf"""
@@ -286,7 +324,7 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _knn_sql(distance: str, src: str = "embeddings", extra: str = "TRUE", pre: str = "", key: str = "vec_id") -> str:
     return f"""
-WITH {pre} d AS (SELECT a.{key} AS query_id, b.{key} AS neighbor_id, round({distance}, 6) AS distance
+WITH {pre} d AS (SELECT a.{key} AS query_id, b.{key} AS neighbor_id, round({distance}, 6) + 0.0 AS distance
            FROM {src} a CROSS JOIN {src} b
            WHERE len(a.embedding) > 0 AND len(a.embedding) = len(b.embedding) AND {extra})
 SELECT query_id, neighbor_id, distance, rank::BIGINT AS rank
@@ -499,8 +537,8 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The vectors of ``embeddings``, those of some labels made missing, short, or given a null, NaN or infinite element, so
 # that every class of vector occurs.
 DIRTY_SQL = """dirty AS (SELECT vec_id, CASE label % 10 WHEN 3 THEN NULL WHEN 4 THEN []::DOUBLE[]
-    WHEN 5 THEN list_concat(embedding::DOUBLE[][2:], ['nan'::DOUBLE]) WHEN 6 THEN list_concat(embedding::DOUBLE[][2:], ['inf'::DOUBLE])
-    WHEN 7 THEN list_concat(embedding::DOUBLE[][2:], [NULL::DOUBLE]) WHEN 8 THEN embedding::DOUBLE[][2:]
+    WHEN 5 THEN list_concat((embedding::DOUBLE[])[2:], ['nan'::DOUBLE]) WHEN 6 THEN list_concat((embedding::DOUBLE[])[2:], ['inf'::DOUBLE])
+    WHEN 7 THEN list_concat((embedding::DOUBLE[])[2:], [NULL::DOUBLE]) WHEN 8 THEN (embedding::DOUBLE[])[2:]
     ELSE embedding::DOUBLE[] END AS embedding FROM embeddings)"""
 
 

@@ -8,7 +8,9 @@ from scripts.check_oracle import TABLES, canon
 
 SF = "/root/testdata/sf0.001"
 CHECK = ["bm25_documents", "rag_answers", "rag_answers_rerank", "knn_embeddings", "text_functions",
-         "trim_documents", "html_text", "topic_terms", "topic_coherence", "index_stats"]
+         "trim_documents", "html_text", "topic_terms", "topic_coherence", "index_stats", "rag_answers_subqueries",
+         "knn_blocked", "bm25_blocked", "knn_cosine", "knn_dot", "knn_dirty", "embedding_quality", "reduce_counts",
+         "index_counters", "strip_think", "reducer_staleness", "topic_representatives", "stream_index"]
 
 
 @pytest.fixture(scope="module")

@@ -154,6 +154,30 @@ def answer_prompt(context, query) -> Column:
     return F.concat(F.lit("Context:\n"), _c(context), F.lit("\n\nQuestion: "), _c(query))
 
 
+def instructed_prompt(context, query) -> Column:
+    """The answer instructions and prompt, as a generator hook gets them."""
+    return F.concat(F.lit(ANSWER_INSTRUCTIONS + "\n\n"), answer_prompt(context, query))
+
+
+def rewrite_prompt(query) -> Column:
+    """The prompt of a rewriting model."""
+    head, tail = REWRITE_PROMPT.split("{query}")
+    return F.concat(F.lit(head), _c(query), F.lit(tail))
+
+
+def metadata_fields(c) -> Column:
+    """H15 (read side): metadata JSON as map<string,string>; null or unreadable JSON is an empty map."""
+    fields = F.from_json(F.coalesce(_c(c), F.lit("{}")), "map<string,string>")
+    return F.coalesce(fields, F.create_map().cast("map<string,string>"))
+
+
+def text_of(record) -> Column:
+    """The text of a JSON record by its key ``chunk_text``, else ``text``, of a plain value the value, else ''."""
+    r = _c(record)
+    return F.when(r.startswith("{"), F.coalesce(F.get_json_object(r, "$.chunk_text"), F.get_json_object(r, "$.text"),
+                                                F.lit(""))).otherwise(F.coalesce(r, F.lit("")))
+
+
 def clean_topic_summary(summary, terms) -> Column:
     """First line, strip, drop a leading 'Summary:'/'Topic:'/'Documents:'.
 

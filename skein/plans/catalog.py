@@ -253,6 +253,14 @@ def rag_answers_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_questions(chunks, tables.conversation_questions(spark, sf_dir), SQL_CHUNKING)
 
 
+@register("rag_answers_direct", rag_sql(BENCH_Q, analysis=SQL_PLAIN | {"need": "'general'"}, top_k=4))
+def rag_answers_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 with rewriting off (M4): context need 'general', three documents although ``top_k`` is four."""
+    from .query import answer_questions
+    opts = SQL_CHUNKING.with_(enable_rewriting=False, top_k=4)
+    return answer_questions(chunk_table(spark, sf_dir, opts), tables.benchmark_questions(spark, sf_dir), opts)
+
+
 # Sub-queries are the clauses of three words or more, after the whole question unless it is one of them.
 SQL_STRIPPED = r"regexp_replace({x}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g')"
 SQL_CLAUSES = (r"list_filter(list_transform(string_split_regex(query_text, '[.,;:!?]+'), lambda x: "
@@ -397,6 +405,51 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "file_path", "chunk_index", "total_chunks", "chunk_size")
 
 
+RECURSIVE_SQL = f"""
+SELECT doc_id, true AS substrings, true AS sized, true AS from_start, true AS to_end, true AS enough
+FROM documents WHERE NOT {SQL_BLANK}
+"""
+
+
+@register("recursive_invariants", RECURSIVE_SQL)
+def recursive_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 (recursive separators): per document, whether its chunks are substrings of at most the chunk size, start and
+    end with the text, and are long enough together to cover it."""
+    from ..functions.chunking import chunk_array
+    from ..functions.text import is_blank
+    d = tables.documents(spark, sf_dir).where(~is_blank(F.col("text")))
+    d = d.select("doc_id", "text", chunk_array(F.col("text"), DEFAULTS.chunk_size, DEFAULTS.chunk_overlap,
+                                               DEFAULTS.separators).alias("c"))
+    return d.select("doc_id", F.forall("c", lambda x: F.instr(F.col("text"), x) > 0).alias("substrings"),
+                    F.forall("c", lambda x: F.length(x).between(1, DEFAULTS.chunk_size)).alias("sized"),
+                    F.col("text").startswith(F.element_at("c", 1)).alias("from_start"),
+                    F.col("text").endswith(F.element_at("c", -1)).alias("to_end"),
+                    (F.aggregate("c", F.lit(0), lambda n, x: n + F.length(x)) >= F.length("text")).alias("enough"))
+
+
+METADATA_SQL = rf"""
+WITH {SQL_CHUNKS},
+tot AS (SELECT file_path, count(*) AS total_chunks FROM ch GROUP BY file_path)
+SELECT id, CASE WHEN file_path LIKE '/src3/%' THEN 0 ELSE 6 END::BIGINT AS n_fields,
+       CASE WHEN file_path NOT LIKE '/src3/%' THEN regexp_extract(file_path, '([^/]*)/*$', 1) END AS file_name,
+       CASE WHEN file_path NOT LIKE '/src3/%' THEN chunk_index::VARCHAR || '/' || total_chunks::VARCHAR END AS place
+FROM ch JOIN tot USING (file_path)
+"""
+
+
+@register("chunk_metadata", METADATA_SQL)
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read back from every chunk's metadata JSON; the chunks of one source have none."""
+    from ..functions.text import metadata_fields
+    from ..operators.chunks import chunk_files
+    c = chunk_files(tables.document_files(spark, sf_dir), SQL_CHUNKING)
+    m = metadata_fields(F.when(~F.col("file_path").startswith("/src3/"), F.col("metadata")))
+    c = c.select("id", m.alias("m"))
+    return c.select("id", F.size("m").cast("long").alias("n_fields"), F.col("m")["file_name"].alias("file_name"),
+                    F.concat_ws("/", F.col("m")["chunk_index"], F.col("m")["total_chunks"]).alias("p")) \
+        .select("id", "n_fields", "file_name", F.when(F.col("p") != "", F.col("p")).alias("place"))
+
+
 # ------------------------------------------------------------------------------------ A1, A2, E6: index statistics
 
 STATS_SQL = rf"""
@@ -504,6 +557,30 @@ def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.md5(strip_think_tags(x)).alias("answer_md5"))
 
 
+SUMMARY_CLEAN_SQL = r"""
+WITH t AS (SELECT conv_id, turn, CASE length(text) % 5 WHEN 0 THEN ' Summary: ' || text WHEN 1 THEN 'topic:' || chr(10) || text
+                  WHEN 2 THEN '  ' WHEN 3 THEN NULL ELSE text END AS x, 'Documents about ' || role || ' and turn' AS f
+           FROM conversations),
+w AS (SELECT *, regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g') AS y FROM t),
+l AS (SELECT *, CASE WHEN y = '' THEN 'Related documents'
+                     ELSE regexp_replace(split_part(y, chr(10), 1), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g') END AS z FROM w),
+c AS (SELECT *, regexp_replace(regexp_replace(z, '(?i)^(Summary:|Topic:|Documents:)', ''),
+                               '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r\x00]+$', '', 'g') AS v FROM l)
+SELECT conv_id, turn, CASE WHEN v IS NULL OR v = '' THEN f ELSE v END AS summary FROM c
+"""
+
+
+@register("topic_summary_texts", SUMMARY_CLEAN_SQL)
+def topic_summary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H14 over the turns of ``conversations`` as model answers: with prefixes, blank and failed ones."""
+    from ..functions.text import clean_topic_summary
+    t, form = F.col("text"), F.length("text") % 5
+    x = (F.when(form == 0, F.concat(F.lit(" Summary: "), t)).when(form == 1, F.concat(F.lit("topic:\n"), t))
+         .when(form == 2, F.lit("  ")).when(form == 3, F.lit(None)).otherwise(t))
+    c = tables.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", clean_topic_summary(x, F.array(F.col("role"), F.lit("turn"))).alias("summary"))
+
+
 # --------------------------------------------------------------------------------------------------- S2: HTML text
 
 HTML_SQL = r"""
@@ -757,6 +834,18 @@ def topic_terms_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("topic_id", "term", F.round("score", 6).alias("score"), "term_rank")
 
 
+LABELS_SQL = f"""WITH {LANG_TERMS_CTE}
+SELECT topic_id, string_agg(term, ', ' ORDER BY term_rank) FILTER (WHERE term_rank <= 3) AS label FROM top GROUP BY topic_id"""
+
+
+@register("topic_labels", LABELS_SQL)
+def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term label of every language group of ``documents``."""
+    from ..operators.topics import label_from_terms, terms_array, topic_terms
+    arr = terms_array(topic_terms(_lang_topics(spark, sf_dir), 10))
+    return arr.select("topic_id", label_from_terms(F.col("terms")).alias("label"))
+
+
 COHERENCE_SQL = f"""WITH {LANG_TERMS_CTE},
 {LANG_COH_CTE}
 SELECT topic_id, coherence FROM coh"""

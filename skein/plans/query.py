@@ -25,7 +25,8 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DE
     n_sub_queries).
 
     ``chunks``: the chunk table (id, chunk_text, file_path, chunk_index, embedding, ...). ``questions``:
-    (query_id, query_text). Hooks: ``rewriter.rewrite(col)->struct``, ``scorer(query, text)->double column``,
+    (query_id, query_text). Hooks: ``rewriter.rewrite(col)->struct`` (or
+    ``rewrite_prompt(prompt_col)->struct`` for a model that is to get the rewriting prompt), ``scorer(query, text)->double column``,
     ``generator.generate(prompt_col)->string`` (null = failure, the extractive fallback is used). ``reducer``: a
     fitted reducer; it is used (P9) only when the table holds reduced vectors, decided once per job. ``fts_index``:
     (postings, (N, avgdl)) from ``jobs.load_fts_index``, to skip tokenising the corpus per job. ``summarizer``:
@@ -78,8 +79,8 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, opts: Options = DE
            .join(conf, "query_id", "left").join(stats, "query_id", "left"))
     fallback = F.concat(F.lit(tx.FALLBACK_ANSWER_PREFIX), F.substring("context", 1, 501), F.lit("..."))
     if generator is not None:
-        generated = tx.strip_think_tags(generator.generate(tx.answer_prompt(F.col("context"),
-                                                                            F.col("clarified_intent"))))
+        generated = tx.strip_think_tags(generator.generate(tx.instructed_prompt(F.col("context"),
+                                                                                F.col("clarified_intent"))))
         answer = F.coalesce(generated, fallback)
     else:
         answer = fallback

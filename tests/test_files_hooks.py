@@ -173,3 +173,33 @@ def test_summary_hook_in_answers(spark):
     found = [r for r in rows if r.n_candidates > 0]
     assert found and all(r.answer.startswith("Based on the retrieved information:\n\nSummary: short summary")
                          for r in found)
+
+
+def test_prompts_reach_the_hooks_and_rewriting_runs_once(spark):
+    from skein.functions import text as tx
+    from skein.functions.text import metadata_fields, text_of
+    counter = spark.sparkContext.accumulator(0)
+
+    @F.udf("struct<clarified_intent:string,query_type:string,sub_queries:array<string>,key_terms:array<string>,context_needed:string>")
+    def rewrite(prompt):
+        counter.add(1)
+        return ("intent of " + prompt.split("User Query: ")[1].split("\n")[0], "x", ["red boat", "blue sea"], [], "minimal")
+
+    class Rewriter:
+        def rewrite_prompt(self, prompt):
+            return rewrite(prompt)
+
+    class Gen:
+        def generate(self, prompt):
+            return F.when(prompt.startswith(tx.ANSWER_INSTRUCTIONS), F.concat(F.lit("got "), F.element_at(F.split(prompt, "Question: "), -1)))
+
+    files = spark.createDataFrame([("/a.txt", "a red boat on a blue sea")], "file_path string, text string")
+    chunks = build_chunk_table(files, DEFAULTS).checkpoint()
+    qs = spark.createDataFrame([(i, f"question {i}") for i in range(10)], "query_id long, query_text string").checkpoint()
+    out = answer_questions(chunks, qs, DEFAULTS, rewriter=Rewriter(), generator=Gen()).collect()
+    assert counter.value == 10
+    assert {r.answer for r in out} == {f"got intent of question {i}" for i in range(10)} and {r.n_sub_queries for r in out} == {3}
+    df = spark.createDataFrame([('{"chunk_text": "a", "text": "b"}',), ('{"text": "b"}',), ('{"x": 1}',), ("plain",), (None,)], "r string")
+    assert [r[0] for r in df.select(text_of("r")).collect()] == ["a", "b", "", "plain", ""]
+    m = spark.createDataFrame([('{"a": 1}',), (None,), ("{broken",)], "m string").select(metadata_fields("m").alias("m")).collect()
+    assert [r.m for r in m] == [{"a": "1"}, {}, {}]

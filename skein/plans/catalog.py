@@ -405,6 +405,27 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "file_path", "chunk_index", "total_chunks", "chunk_size")
 
 
+MIXED_SQL = rf"""
+WITH {SQL_CHUNKS},
+inl AS (SELECT text, unnest(range(0, (1 + ceil(greatest(length(text) - 512, 0) / 462.0))::BIGINT)) AS i
+        FROM benchmark WHERE NOT {SQL_BLANK}),
+every AS (SELECT id, file_path, chunk_index, length(chunk_text) AS n FROM ch
+          UNION ALL
+          SELECT sha256('inline_text|' || i::VARCHAR || '|' || substring(text, (i * 462 + 1)::BIGINT, 512)), 'inline_text', i,
+                 length(substring(text, (i * 462 + 1)::BIGINT, 512)) FROM inl)
+SELECT id, file_path, chunk_index::BIGINT AS chunk_index, n::BIGINT AS chunk_size FROM every
+"""
+
+
+@register("mixed_chunks", MIXED_SQL)
+def mixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts (``benchmark``) and records with a path in their metadata (``documents``) chunked as one input."""
+    from ..operators.chunks import chunk_mixed
+    texts = tables.table(spark, sf_dir, "benchmark").select("text")
+    records = tables.document_files(spark, sf_dir).select("text", F.to_json(F.struct("file_path")).alias("metadata"))
+    return chunk_mixed(spark, texts=texts, docs=records, opts=SQL_CHUNKING).select("id", "file_path", "chunk_index", "chunk_size")
+
+
 RECURSIVE_SQL = f"""
 SELECT doc_id, true AS substrings, true AS sized, true AS from_start, true AS to_end, true AS enough
 FROM documents WHERE NOT {SQL_BLANK}

@@ -11,7 +11,7 @@ CHECK = ["bm25_documents", "rag_answers", "rag_answers_rerank", "knn_embeddings"
          "trim_documents", "html_text", "topic_terms", "topic_coherence", "index_stats", "rag_answers_subqueries",
          "knn_blocked", "bm25_blocked", "knn_cosine", "knn_dot", "knn_dirty", "embedding_quality", "reduce_counts",
          "index_counters", "strip_think", "reducer_staleness", "topic_representatives", "stream_index", "recursive_invariants",
-         "chunk_metadata", "topic_summary_texts", "topic_labels", "rag_answers_direct"]
+         "chunk_metadata", "topic_summary_texts", "topic_labels", "rag_answers_direct", "mixed_chunks"]
 
 
 @pytest.fixture(scope="module")

@@ -109,7 +109,7 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-def pieces(batches, column: int, size: int = 4 << 20):
+def pieces(batches, column: int, size: int = 1 << 20):
     """Slices of record batches with about ``size`` bytes of text, one row at least, so that passes stay small."""
     for batch in batches:
         if not batch.num_rows:

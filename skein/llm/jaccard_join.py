@@ -59,7 +59,7 @@ def digest_of(found: np.ndarray) -> bytes | None:
 
 def _describe(batches):
     """Of each document (block, doc_id, n, digest); of each batch also its most frequent shingles (digest null)."""
-    for batch in pieces(batches, 2, 16 << 20):
+    for batch in pieces(batches, 2, 8 << 20):
         found = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([
             batch.column("block"), batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()),

@@ -132,10 +132,10 @@ class _Words(dict):
         return [*self.first(pieces[0]), *chain.from_iterable(self.first(" " + p) for p in pieces[1:])]
 
 
-def _blocks(batches):
-    """(block number, its rows, texts): consecutive rows of up to about BLOCK_BYTES."""
+def _blocks(batches, size: int):
+    """(block number, its rows, texts): consecutive rows of up to about ``size`` bytes."""
     part = TaskContext.get().partitionId()
-    for nth, rows in enumerate(pieces(batches, 1, BLOCK_BYTES)):
+    for nth, rows in enumerate(pieces(batches, 1, size)):
         yield (part << 24) + nth, rows, rows.column(1).to_pylist()
 
 
@@ -163,12 +163,13 @@ def whole(x: np.ndarray) -> np.ndarray:
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               keep: tuple[str, ...] = (), n_buckets: int | None = None) -> DataFrame:
+               keep: tuple[str, ...] = (), n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: (doc_id, n_tokens, ids array<int>) and the columns in ``keep``, without special tokens.
 
     Defined cases: null and empty texts have no ids; null and repeated document ids are passed through; an empty table
     gives an empty result; further columns are not read. ``ranks_path`` is read by the driver; the rank table, bounded by
-    the vocabulary, is the only thing broadcast.
+    the vocabulary, is the only thing broadcast. A block of ``block_bytes`` of text needs some twenty times its size in
+    memory; larger blocks shuffle fewer words.
     """
     spark = docs.sparkSession
     n_buckets = n_buckets or counts(docs, 2)
@@ -182,7 +183,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def vocabulary(batches):
         split = regex.compile(pattern)
-        for block, _, texts in _blocks(batches):
+        for block, _, texts in _blocks(batches, block_bytes):
             words, bucket, _, _ = _numbered(texts, split, n_buckets)
             buckets, first = np.unique(bucket, return_index=True)
             cuts = [*first.tolist(), len(words)]
@@ -193,7 +194,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def positions(batches):
         split = regex.compile(pattern)
-        for block, own, texts in _blocks(batches):
+        for block, own, texts in _blocks(batches, block_bytes):
             words, _, place, found = _numbered(texts, split, n_buckets)
             n = np.array([len(x) for x in found], np.int64)
             seq = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))

@@ -42,7 +42,8 @@ def is_text(content, path) -> Column:
 def extract_text(files: DataFrame) -> DataFrame:
     """S2 (plain text): (file_path, text, file_name, file_type, file_size, file_modified, error).
 
-    Text formats must be UTF-8 (a file that isn't has a null text and an error); HTML is reduced to its visible text (``html_to_text``); formats that need a
+    Text formats must be UTF-8 (a file that isn't has a null text and an error); HTML is reduced to
+    its visible text (``html_to_text``); formats that need a
     document parser (PDF, Office) yield a null text and an error, which the index job counts (A7).
     """
     path = F.regexp_replace(F.col("path"), "^file:", "")

@@ -10,8 +10,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
     The check is a bounded count (``limit(max_rows + 1)``): a scan stops after that many rows, but what must run before
-    a row comes out (an aggregation, a join) runs in full, so pass derived frames materialised. Beyond the bound the frame is returned as is and Spark plans a shuffle join (AQE may still pick a broadcast
-    from runtime sizes, and splits skewed partitions).
+    a row comes out (an aggregation, a join) runs in full, so pass derived frames materialised. Beyond the bound the
+    frame is returned as is and Spark plans a shuffle join (AQE may still pick a broadcast from runtime sizes, and
+    splits skewed partitions).
     """
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:

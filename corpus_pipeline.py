@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.bpe import bpe_decode, bpe_encode
+from skein.llm.bpe import bpe_encode
 from skein.llm.decontaminate import without_contaminated
 from skein.llm.jaccard_join import one_of_each
 from skein.llm.line_dedup import line_dedup
@@ -53,9 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "n_chars"),
-                         block_bytes=4 << 20)
-    return bpe_decode(encoded, ranks).select(
+    return bpe_encode(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "n_chars"),
+                      block_bytes=4 << 20, with_bytes=True).select(
         "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 

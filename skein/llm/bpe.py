@@ -163,23 +163,27 @@ def whole(x: np.ndarray) -> np.ndarray:
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               keep: tuple[str, ...] = (), n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               keep: tuple[str, ...] = (), n_buckets: int | None = None, block_bytes: int = BLOCK_BYTES,
+               with_bytes: bool = False) -> DataFrame:
     """One row per input row: (doc_id, n_tokens, ids array<int>) and the columns in ``keep``, without special tokens.
 
     Defined cases: null and empty texts have no ids; null and repeated document ids are passed through; an empty table
     gives an empty result; further columns are not read. ``ranks_path`` is read by the driver; the rank table, bounded by
     the vocabulary, is the only thing broadcast. A block of ``block_bytes`` of text needs some twenty times its size in
-    memory; larger blocks shuffle fewer words.
+    memory; larger blocks shuffle fewer words. ``with_bytes`` adds ``decoded`` as :func:`bpe_decode` would, in the tasks
+    that assemble the ids.
     """
     spark = docs.sparkSession
     n_buckets = n_buckets or counts(docs, 2)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    table = spark.sparkContext.broadcast({v: k for k, v in ranks.value.items()}) if with_bytes else None
     extra = [f"_keep{i}" for i in range(len(keep))]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                          *[F.col(c).alias(e) for e, c in zip(extra, keep)])
     kept = source.select(*extra).schema.fields
     schema = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()),
-                         StructField("ids", ArrayType(IntegerType())), *kept])
+                         StructField("ids", ArrayType(IntegerType())), *kept,
+                         *([StructField("decoded", BinaryType())] if with_bytes else [])])
 
     def vocabulary(batches):
         split = regex.compile(pattern)
@@ -248,12 +252,19 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         out = ids[expand(begin[seq], per_word)]
         return pa.table([own["doc_id"], pa.array(np.diff(at), pa.int64()),
                          pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32())),
-                         *[own[e] for e in extra]], names=["doc_id", "n_tokens", "ids", *extra])
+                         *[own[e] for e in extra],
+                         *([pa.array([_bytes_of(out[a:b], table.value) for a, b in zip(at, at[1:])], pa.binary())] if with_bytes else [])],
+                        names=["doc_id", "n_tokens", "ids", *extra, *(["decoded"] if with_bytes else [])])
 
     words = source.mapInArrow(vocabulary, ROW).groupBy("bucket").applyInArrow(encode, ROW)
     found = (source.mapInArrow(positions, ROW).groupBy("block").cogroup(words.groupBy("block"))
              .applyInArrow(assemble, schema))
-    return found.select("doc_id", "n_tokens", "ids", *[F.col(e).alias(c) for e, c in zip(extra, keep)])
+    return found.select("doc_id", "n_tokens", "ids", *[F.col(e).alias(c) for e, c in zip(extra, keep)],
+                        *(["decoded"] if with_bytes else []))
+
+
+def _bytes_of(ids: np.ndarray, table: dict[int, bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -269,10 +280,9 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def decode(batches):
-        token = table.value.__getitem__
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            out = [None if gone else b"".join(map(token, ids[i].values.to_numpy().tolist()))
+            out = [None if gone else _bytes_of(ids[i].values.to_numpy(), table.value)
                    for i, gone in enumerate(ids.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              [*batch.schema.names, "decoded"])

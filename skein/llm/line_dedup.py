@@ -4,8 +4,8 @@ Overlapping documents are found through shared line hashes: every line of ``min_
 documents hold makes each later document a partner of the first holder of that line -- one pair per document and holder,
 however many documents share the line, so nothing grows with the square of a group. A holder's lines are sent once per
 *cell* of asking blocks, so a holder that a third of all documents meet is spread over many tasks. Each pair is aligned
-with patience diff over the hashes of all lines; aligned common blocks that hold a line of ``min_words`` words are
-deleted from the later document.
+with patience diff over the hashes of all lines, then what is left of the later document with any place of the holder;
+aligned common blocks that hold a line of ``min_words`` words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -86,20 +86,80 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs_in(a: list, b: list) -> list[int]:
+    """For each place of ``b``: of how many lines the longest run is that ends there and stands somewhere in ``a``."""
+    step, link, size, last = [{}], [-1], [0], 0  # suffix automaton of a: linear in its lines
+    for v in a:
+        new, p = len(step), last
+        step.append({}), link.append(0), size.append(size[last] + 1)
+        while p >= 0 and v not in step[p]:
+            step[p][v] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][v]
+            if size[q] != size[p] + 1:
+                copy = len(step)
+                step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1)
+                while p >= 0 and step[p].get(v) == q:
+                    step[p][v] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for v in b:
+        while at and v not in step[at]:
+            at = link[at]
+            n = size[at]
+        if v in step[at]:
+            at, n = step[at][v], n + 1
+        out.append(n)
+    return out
+
+
 def aligned(a: list, b: list, anchor: list) -> list[int]:
-    """Places of ``b`` in common blocks (runs matched side by side) that hold a line for which ``anchor`` is true."""
-    out, run, held = [], [], False
+    """Places of ``b`` in common blocks (runs matched side by side) that hold a line for which ``anchor`` is true.
+
+    The patience alignment comes first. Common lines it leaves -- passages that stand several times in a text, or in
+    another order -- are aligned again, each run with any place of ``a`` where it stands; so in the end a line goes if
+    and only if it is in a run with an anchor that stands side by side in ``a`` too.
+    """
+    gone, run, held = [False] * len(b), [], False
     before = None
     for x, y in [*patience(a, b), (None, None)]:
         if before is not None and x is not None and (x, y) == (before[0] + 1, before[1] + 1):
             run.append(y)
         else:
             if held:
-                out += run
+                for z in run:
+                    gone[z] = True
             run, held = [y], False
         held = held or (y is not None and anchor[y])
         before = (x, y)
-    return out
+    known, left, y = set(a), [], 0
+    while y < len(b):  # stretches of common lines with an anchor that are not gone as a whole
+        z = y
+        while z < len(b) and b[z] in known:
+            z += 1
+        if any(anchor[y:z]) and not all(gone[y:z]):
+            left.append((y, z))
+        y = z + 1
+    if left:
+        longest = runs_in(a, [v for y, z in left for v in [*b[y:z], None]])
+        at = 0
+        for y, z in left:
+            low = z  # first place that a run with an anchor covers, from the end of the stretch on
+            last = [-1] * (z - y)
+            for i in range(z - y):
+                last[i] = i if anchor[y + i] else last[i - 1] if i else -1
+            for i in range(z - y - 1, -1, -1):
+                begin = i - longest[at + i] + 1
+                if last[i] >= begin:
+                    low = min(low, y + begin)
+                if y + i >= low:
+                    gone[y + i] = True
+            at += z - y + 1
+    return [y for y, x in enumerate(gone) if x]
 
 
 def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text",

@@ -64,6 +64,36 @@ def test_patience():
     assert aligned([1, 2, 3], [9, 1, 2, 8], [False] * 4) == []
 
 
+def common_runs(a, b, anchor):
+    """By definition: places of b in a run of lines with an anchor that stands in a, over all runs."""
+    runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    return sorted({y for i in range(len(b)) for j in range(i + 1, len(b) + 1)
+                   if tuple(b[i:j]) in runs and any(anchor[i:j]) for y in range(i, j)})
+
+
+def test_repeated_and_crossed():
+    r = random.Random(9)
+    for _ in range(3000):
+        a, b = ([r.choice("PQRstu-") for _ in range(r.randrange(14))] for _ in range(2))
+        b = [x if r.random() < .7 else f"own {i}" for i, x in enumerate(b)]
+        anchor = [x in "PQR" for x in b]
+        assert aligned(a, b, anchor) == common_runs(a, b, anchor)
+    for n in (1, 2, 3):
+        assert aligned(list("ab") * 400, list("ab") * n * 100, [True, False] * n * 100) == list(range(n * 200))
+
+
+def test_passages_that_stand_twice(spark):
+    p, q = "a shared passage of many words\nand its short end", "another passage of many words too"
+    docs = [(1, f"a\n{p}\nb"), (2, f"c\n{p}\nd\n{p}\ne"),
+            (3, f"f\n{q}\ng\n{q}\nh"), (4, f"i\n{q}\nj"), (5, f"k\n{q}\nl\n{p}\nm"), (6, f"n\n{p}\no\n{q}\np")]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], SCHEMA)
+    got = {r.doc_id: r.text for r in line_dedup(df, n_blocks=3, n_buckets=2).collect()}
+    assert got == {1: docs[0][1], 2: "c\nd\ne", 3: docs[2][1], 4: "i\nj", 5: "k\nl\nm", 6: "n\no\np"}
+    crossed = [(1, f"a\n{p}\nb\n{q}\nc"), (2, f"d\n{q}\ne\n{p}\nf")]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in crossed], SCHEMA)
+    assert {r.doc_id: r.text for r in line_dedup(df).collect()} == {1: crossed[0][1], 2: "d\ne\nf"}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([(0, "x", "", "")], SCHEMA).where(F.lit(False))
     assert line_dedup(none).count() == 0

@@ -48,19 +48,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
     """Fixed point of ``score = seed + damping * sum(share * score of the sources)``: (host, score).
 
     ``edges`` (src, dst, share) with shares of a source summing to 1, ``seeds`` (host, seed) in 0..1. Every round adds
-    what moved in the last one, damped, so what is left shrinks at least by ``damping``; the loop ends when the largest
-    addition is at most ``tolerance``. Each round is cut by a checkpoint in the shared folder.
+    what moved in the last one, damped, so what is left shrinks at least by ``damping``; no addition is dropped, and the
+    loop ends when the additions of all hosts together are at most ``tolerance``: a hub's many small ones may meet
+    again. Each round is cut by a checkpoint in the shared folder.
     """
     moved = seeds.select("host", F.col("seed").alias("add"))
     score = seeds.select("host", F.col("seed").alias("score"))
     while True:
         moved = (edges.join(moved.withColumnRenamed("host", "src"), "src")
                  .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("add") * damping).alias("add"))
-                 .where(F.col("add") > tolerance).checkpoint())
-        if moved.isEmpty():
+                 .checkpoint())
+        total = moved.agg(F.sum("add")).first()[0] or 0.0
+        if not total:
             return score
         score = (score.unionByName(moved.withColumnRenamed("add", "score"))
                  .groupBy("host").agg(F.sum("score").alias("score")).checkpoint())
+        if total <= tolerance:
+            return score
 
 
 def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -108,5 +108,15 @@ def test_urls(spark):
     assert verdict["spam.com"] == "block" and verdict["lonely.com"] == "allow" and verdict["good.com"] == "allow"
 
 
+def test_urls_hub(spark):
+    """A blocked host that 10,000 hosts link to, and one host that alone links to all of these."""
+    n = 10_000
+    link = lambda h: f'<a href="https://{h}/">x</a>'
+    pages = [(0, "https://bad.net/", "", "")] + [(1, "https://farm.com/", "".join(link(f"h{i}.com") for i in range(n)), "")]
+    pages += [(2 + i, f"https://h{i}.com/", link("bad.net"), "") for i in range(n)]
+    got = {r.host: r.verdict for r in filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got.pop("bad.net") == "block" and got.pop("farm.com") == "block" and set(got.values()) == {"allow"}
+
+
 def test_urls_empty(spark):
     assert filter_urls(spark.createDataFrame([(0, "", "", "")], PAGES).where(F.lit(False))).count() == 0

@@ -5,7 +5,9 @@ they are read, without a shuffle. For every item length the windows of that many
 over ``radius + 1`` blocks of the 64 bits finds every item fingerprint within ``radius`` (of so many blocks at least one
 has no differing bit); each candidate is verified by the exact weighted Jaccard similarity of its five-word shingles,
 weights being their numbers of occurrences. Windows that hold too few shingles of any one item to reach the threshold,
-a bound from counts, are not fingerprinted.
+a bound from counts, are not fingerprinted. A document with fewer words than the item is one window, all of it, with its
+own number of shingles; being one each, these windows are verified for every item that passes the bound from counts,
+without fingerprints.
 
 ``radius`` 24 covers the threshold 0.8: two texts of weighted similarity 0.8 differ in 9.7 of 64 bits on average with a
 standard deviation of 2.9, so a pair beyond 24 is a five-sigma case; equal texts never differ.
@@ -83,8 +85,10 @@ class Items:
                       for k in {v[0] for v in self.lengths.values()}}
 
     def search(self, texts, radius: int) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, start, words, shared shingles) of the best window of each document and item it matches."""
+        """(document, item, start, words, shared shingles, shingles of window and item together) of the best window of
+        each document and item it matches."""
         words, first = _words(texts)
+        doc_words = np.diff(first)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         best: dict[tuple[int, int], tuple] = {}
         grams = {}
@@ -95,6 +99,11 @@ class Items:
             grams[k] = g, np.flatnonzero(known & ok)
         for length, (k, n, at, sorted_grams, prints, gram, flat) in self.lengths.items():
             g, hits = grams[k]
+            for d, t in self._short(hits, g, n, k, gram, flat, doc, doc_words, length):
+                m = int(doc_words[d]) - k + 1
+                shared = _common(np.sort(g[first[d]:first[d] + m]), sorted_grams[t])
+                if 100 * shared >= self.percent * (m + n - shared):
+                    best[d, int(at[t])] = (-shared, int(first[d])), int(doc_words[d]), m + n
             starts = self._windows(g, hits, n, gram, flat, doc, length)
             if not len(starts):
                 continue
@@ -107,9 +116,24 @@ class Items:
                     key = (int(doc[s]), int(at[t]))
                     now = (-shared, s)
                     if key not in best or now < best[key][0]:
-                        best[key] = now, length, n
-        return [(d, int(self.ids[t]), s - int(first[d]), length, -shared, n)
-                for (d, t), ((shared, s), length, n) in sorted(best.items())]
+                        best[key] = now, length, 2 * n
+        return [(d, int(self.ids[t]), s - int(first[d]), length, -shared, both)
+                for (d, t), ((shared, s), length, both) in sorted(best.items())]
+
+    def _short(self, hits, g, n, k, gram, flat, doc, doc_words, length) -> list[tuple[int, int]]:
+        """(document, item) where the document has fewer words than the items and could share enough with the item."""
+        own = doc_words[doc[hits]]
+        hits = hits[(own < length) & (100 * (own - k + 1) >= self.percent * n)]
+        if not len(hits):
+            return []
+        at = np.minimum(np.searchsorted(gram, g[hits]), len(gram) - 1)
+        mine = gram[at] == g[hits]
+        hits, at = hits[mine], at[mine]
+        begin, end = np.searchsorted(flat[:, 0], at, "left"), np.searchsorted(flat[:, 0], at, "right")
+        pairs = np.stack([np.repeat(doc[hits], end - begin), flat[expand(begin, end - begin), 1]], 1)
+        pairs, held = np.unique(pairs, axis=0, return_counts=True)
+        both = doc_words[pairs[:, 0]] - k + 1 + n
+        return [tuple(x) for x in pairs[(100 + self.percent) * held >= self.percent * both].tolist()]
 
     def _windows(self, g, hits, n, gram, flat, doc, length) -> np.ndarray:
         """Starts of windows of ``n`` shingles, inside one document, that could share enough with one item."""
@@ -156,7 +180,8 @@ def slices(items: DataFrame, id_col: str, text_col: str, percent: int):
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, radius: int = 24, id_col: str = "doc_id",
                  text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, shared, similarity): the best window for each document row and item that
-    it matches, of equal ones the first. Documents without a match have no row.
+    it matches, of equal ones the first. Documents without a match have no row. Windows have as many words as the item;
+    a document that has fewer is one window, with ``n_words`` its own.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; an item with fewer than five words is one shingle. Defined
     cases: null and empty texts of documents match nothing, items without words are skipped; null document ids are
@@ -170,10 +195,10 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, radius: i
         def search(batches, index=index):
             for batch in pieces(batches, 1):
                 found = index.value.search(batch.column(1), radius)
-                doc, item, start, words, shared, n = np.array(found, np.int64).reshape(-1, 6).T
+                doc, item, start, words, shared, both = np.array(found, np.int64).reshape(-1, 6).T
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(doc)), *map(pa.array, (item, start, words, shared)),
-                     pa.array(shared / np.maximum(1, 2 * n - shared))],
+                     pa.array(shared / np.maximum(1, both - shared))],
                     ["doc_id", "item_id", "start_word", "n_words", "shared", "similarity"])
 
         part = own.mapInArrow(search, schema)

@@ -79,6 +79,46 @@ def test_windows(spark, monkeypatch):
     assert sorted(map(repr, [tuple(r)[:2] for r in stay.collect()])) == sorted(map(repr, [x for x in docs if x not in bad]))
 
 
+def brute_short(docs, items):
+    """Whole documents that have fewer words than the item, by definition of the weighted similarity."""
+    out = []
+    for d, text in docs:
+        for t, item in items:
+            words, own = words_of(text), words_of(item)
+            k = min(5, len(own))
+            if not k or not k <= len(words) < len(own):
+                continue
+            a, b = (Counter(tuple(x[i:i + k]) for i in range(len(x) - k + 1)) for x in (own, words))
+            shared, either = sum((a & b).values()), sum((a | b).values())
+            if 100 * shared >= 80 * either:
+                out.append((d, t, 0, len(words), shared, round(shared / either, 9)))
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(["the", "of"] + [f"w{j}" for j in range(60)]) for _ in range(n)))
+             for i, n in enumerate([2, 4, 6, 9, 10, 14, 20, 30, 40, 40, 41, 80])]
+    items += [(50, items[8][1]), (51, "x y " * 10)]
+    docs = [(1, " ".join(items[8][1].split()[:38])), (2, " ".join(items[8][1].upper().split()[3:])), (3, ""), (4, None),
+            (5, "x y " * 9), (6, items[0][1].split()[0]), (7, " ".join(items[3][1].split()[:8]))]
+    for i in range(300):
+        own = r.choice(items)[1].split()
+        a = r.randrange(min(3, len(own)))
+        own = own[a:max(a + 1, len(own) - r.randrange(8))]
+        if r.random() < .3:
+            own[r.randrange(len(own))] = "changed"
+        docs.append((100 + i, " ".join(own)))
+    d = spark.createDataFrame([(a, b, "x", "y") for a, b in docs], DOCS)
+    t = spark.createDataFrame([(a, b, "z") for a, b in items], ITEMS)
+    want = brute_short(docs, items)
+    assert (1, 8, 0, 38, 34, round(34 / 36, 9)) in want and len(want) > 50
+    got = [(r[0], *map(int, r[1:5]), round(r[5], 9)) for r in contaminated(d, t).collect()]
+    assert sorted(got) == sorted(want + brute(docs, items))
+    bad = {x[0] for x in got}
+    assert {r[0] for r in without_contaminated(d, t).collect()} == {x for x, _ in docs} - bad
+
+
 def test_radius():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 200).astype(np.uint64)

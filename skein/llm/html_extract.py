@@ -29,8 +29,15 @@ from .blocks import pieces
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
              "span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style template noscript iframe object svg math title textarea select button canvas audio "
-              "video datalist".split())
+MATH = set("math maction annotation annotation-xml menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo "
+           "mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr "
+           "munder munderover none semantics".split())  # read as inline text
+RAW = set("script style iframe title textarea".split())  # read up to their end tag, whatever stands in them
+DROPPED = set("template noscript object svg select button canvas audio video datalist".split())  # elements, left out
+LEAVES_SVG = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu "
+                 "meta ol p pre ruby s small span strong strike sub sup table tt u ul var".split())  # start tags that end it
+CELLS = {"td", "th", "tr"}
+SVG_HTML = {"foreignobject", "desc", "title"}  # elements of svg that hold HTML
 CLOSES = {  # a start tag closes an open element of these kinds first
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
@@ -46,7 +53,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.I)
 WORD = re.compile(r"[a-z]+")
 TAIL = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
-CLOSERS = {tag: re.compile(rf"</{tag}\b[^<>]*>?", re.I) for tag in DROPPED}
+CLOSERS = {tag: re.compile(rf"</{tag}\b[^<>]*>?", re.I) for tag in RAW}
 DIMENSIONS = 1 << 14
 
 
@@ -58,12 +65,18 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with text in page order; character references decoded, white space runs turned into one space, trimmed."""
+    """Blocks with text in page order; character references decoded, white space runs turned into one space, trimmed.
+
+    Text inside an element of DROPPED is left out while the element is open: up to its end tag, or the end tag of an
+    element around it. It doesn't break the block it stands in.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []  # open elements: tag, features
     path: tuple = ()
     parts: list[str] = []
     linked = depth_a = 0
+    hidden: list[str] = []  # an open element of DROPPED and the elements open inside it
+    inline: dict[str, int] = {}  # numbers of open inline elements outside of that
     at, n = 0, len(page)
 
     def flush():
@@ -80,10 +93,33 @@ def leaf_blocks(page: str) -> list[Block]:
         del stack[i:]
         path = tuple(f for _, own in stack for f in own)
 
+    def drawing():
+        """Whether the innermost open element is one of an svg itself, not HTML inside it."""
+        return next((t == "svg" for t in reversed(hidden) if t == "svg" or t in SVG_HTML), False)
+
+    def stays_hidden(tag, closing, empty):
+        """Take a tag in while ``hidden``; False if it ends what is hidden and counts outside."""
+        if closing:
+            if tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+            elif inline.get(tag) or any(t == tag for t, _ in stack):
+                hidden.clear()
+                return False
+            return True
+        while tag in LEAVES_SVG and drawing():
+            while hidden.pop() != "svg":
+                pass
+        if tag in CELLS and "table" not in hidden and any(t in CELLS for t, _ in stack):
+            hidden.clear()  # the next cell of the table around it
+        if hidden and tag not in VOID and not (empty and (tag in ("svg", "math") or drawing())):
+            hidden.append(tag)
+        return bool(hidden)
+
     while at < n:
         m = TAG.search(page, at)
         text = page[at:m.start()] if m else TAIL.sub("", page[at:])
-        if text:
+        if text and not hidden:
             if "&" in text:
                 text = entities.unescape(text)
             parts.append(text)
@@ -96,18 +132,28 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         tag, closing = tag.lower(), (m[1] or m[4]) == "/"
-        if tag in DROPPED:
+        attributes = m[3] or m[6]
+        empty = not closing and bool(attributes) and attributes.rstrip().endswith("/")
+        if tag in RAW and not (hidden and (closing or drawing())):
             if not closing:
                 end = CLOSERS[tag].search(page, at)
                 at = end.end() if end else n
             continue
+        if hidden and stays_hidden(tag, closing, empty):
+            continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in MATH:
+            if tag not in VOID and not (empty and tag in MATH):
+                inline[tag] = max(0, inline.get(tag, 0) + (-1 if closing else 1))
             if tag == "a":
                 depth_a = 0 if closing else 1
             continue
+        if tag in DROPPED:
+            if not closing and not (empty and tag == "svg"):
+                hidden.append(tag)
+            continue
         flush()
         depth_a = 0
         if closing:
@@ -129,7 +175,6 @@ def leaf_blocks(page: str) -> list[Block]:
             if cut < len(stack):
                 pop_to(cut)
         own = ["t:" + tag]
-        attributes = m[3] or m[6]
         if attributes:
             for a in ATTRIBUTE.finditer(attributes):
                 if a[5]:

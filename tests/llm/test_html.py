@@ -56,6 +56,22 @@ def test_parser():
     assert [b.tag for b in leaf_blocks("<div><p>a<div>b</div>c</div>d")] == ["p", "div", "div", ""]
 
 
+def test_left_out_elements():
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    assert texts("<article><p>a<svg class='i'/>b</p><p>c <math/>d</p><p>e<svg><path d='x'/></svg>f</p></article>") == ["ab", "c d", "ef"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == ["if x=1 then"]
+    for tag in "button select object canvas audio video template datalist svg noscript".split():
+        assert texts(f"<div><p>a <{tag}>not</p><p>b</p></div><p>c</p>") == ["a", "b", "c"], tag
+        assert texts(f"<p>a<{tag}>not<q>this</q></{tag}>b</p>c</{tag}>d") == ["ab", "cd"], tag
+        assert texts(f"<div>a<{tag}><option>x<div>y</div>z</{tag}>b</div>") == (["a", "y", "zb"] if tag == "svg" else ["ab"]), tag
+        assert texts(f"<p><a>x<{tag}></a>y</p>") == ["xy"] and texts(f"<p>x<{tag}></b>y</{tag}>z") == ["xz"], tag
+        assert texts(f"<table><tr><td>a<{tag}>no<td>b</table>c") == (["a", "b", "c"]), tag
+        assert texts(f"a<{tag}>no") == ["a"] and texts(f"<{tag}><script>'</{tag}>'</script>no</{tag}>b") == ["b"] or tag == "svg"
+    assert texts("<p>a<svg><title/><style/><g></svg>b<p>c<svg><foreignObject><p>n</p></foreignObject>o</svg>d") == ["ab", "cd"]
+    assert texts("<p>a<svg><path><p>b") == ["a", "b"]
+    assert texts("a<textarea><p>b</textarea>c<iframe><p>d</iframe>e<title>f") == ["ace"]
+
+
 def test_cases(spark, model, pages):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<article><h1>Some title</h1><p>A text.</p>", "x"),
                                 (2, "u", "<article><h1>Some title</h1><p>A text.</p>", "x")],

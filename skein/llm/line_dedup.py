@@ -1,16 +1,19 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Overlapping documents are found through shared line hashes: every line of ``min_words`` words or more that at least two
-documents hold makes each later document a partner of the first holder of that line -- one pair per document and holder,
-however many documents share the line, so nothing grows with the square of a group. A holder's lines are sent once per
-*cell* of asking blocks, so a holder that a third of all documents meet is spread over many tasks. Each pair is aligned
-with patience diff over the hashes of all lines, then what is left of the later document with any place of the holder;
-aligned common blocks that hold a line of ``min_words`` words are deleted from the later document.
+Overlapping documents are found through shared hashes of lines or, where lines are short, of runs of lines: from every
+line on, the fewest lines that hold ``min_words`` words. Each such run that at least two documents hold makes each
+later document a partner of its first holder -- one pair per document and holder, however many documents share it, so
+nothing grows with the square of a group. A holder's lines are sent once per *cell* of asking blocks, so a holder that
+a third of all documents meet is spread over many tasks. Each pair is aligned with patience diff over the hashes of all
+lines, then what is left of the later document with any place of the holder; aligned common blocks of ``min_words``
+words are deleted from the later document. Of scripts written without spaces every two characters count as one more
+word of their line.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Packer, counts, deal, expand, in_order, rounds, rows
-from .textnum import U, mix, span_hashes, utf8, word_spans
+from .textnum import U, mix, powers, span_hashes, utf8, word_spans
+
+
+def unspaced(buf: np.ndarray) -> np.ndarray:
+    """Whether a character of a script without spaces begins at each byte: Thai, Lao, Burmese, Khmer, kana, Han."""
+    out = np.zeros(len(buf), bool)
+    lead = np.flatnonzero((buf[:-1] >= 0xE0) & (buf[:-1] <= 0xF0))
+    a, b = buf[lead], buf[lead + 1]
+    out[lead] = ((a >= 0xE4) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+                 | (a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F))
+                 | (a == 0xE3) & ((b >= 0x81) & (b <= 0x83) | (b >= 0x90)) | (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3))
+    return out
 
 
 class Lines:
-    """The lines of a block's documents: place in the bytes, words, hash of the trimmed line (0 if blank)."""
+    """The lines of a block's documents: place in the bytes, words, hash of the trimmed line (0 if blank); hash of the
+    fewest lines from each on that hold ``min_words`` words (0 if the line is blank or the document has fewer)."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, min_words: int):
         self.buf, offs = utf8(texts)
         starts, ends, _ = word_spans(self.buf, offs)
         breaks = np.flatnonzero(self.buf == 10)
@@ -43,6 +58,17 @@ class Lines:
         self.hash = np.zeros(len(self.doc), np.uint64)
         some = self.words > 0
         self.hash[some] = span_hashes(self.buf, starts[a[some]], ends[b[some] - 1]) | U(1)
+        chars = np.flatnonzero(unspaced(self.buf))
+        if len(chars):
+            self.words += (np.searchsorted(chars, self.end) - np.searchsorted(chars, self.begin)) // 2
+        total = np.r_[0, np.cumsum(self.words)]
+        stop = np.searchsorted(total, total[:-1] + max(1, min_words))  # the line after the run
+        self.runs = np.flatnonzero(some & (stop <= self.first[self.doc + 1]))
+        self.run = np.where(some, self.hash, U(0))
+        pw, inv = powers(len(self.doc) + 1)
+        sums = np.r_[U(0), np.cumsum(mix(self.hash + U(1)) * pw[:-1])]
+        long = self.runs[stop[self.runs] > self.runs + 1]
+        self.run[long] = mix((sums[stop[long]] - sums[long]) * inv[long]) | U(1)
 
     def of(self, doc: int) -> slice:
         return slice(int(self.first[doc]), int(self.first[doc + 1]))
@@ -117,44 +143,42 @@ def runs_in(a: list, b: list) -> list[int]:
     return out
 
 
-def aligned(a: list, b: list, anchor: list) -> list[int]:
-    """Places of ``b`` in common blocks (runs matched side by side) that hold a line for which ``anchor`` is true.
+def aligned(a: list, b: list, words: list, least: int = 1) -> list[int]:
+    """Places of ``b`` in common blocks (runs matched side by side) whose ``words`` add up to ``least`` or more.
 
     The patience alignment comes first. Common lines it leaves -- passages that stand several times in a text, or in
     another order -- are aligned again, each run with any place of ``a`` where it stands; so in the end a line goes if
-    and only if it is in a run with an anchor that stands side by side in ``a`` too.
+    and only if it is in a run of so many words that stands side by side in ``a`` too.
     """
-    gone, run, held = [False] * len(b), [], False
+    gone, run, held = [False] * len(b), [], 0
     before = None
     for x, y in [*patience(a, b), (None, None)]:
         if before is not None and x is not None and (x, y) == (before[0] + 1, before[1] + 1):
             run.append(y)
         else:
-            if held:
+            if held >= least:
                 for z in run:
                     gone[z] = True
-            run, held = [y], False
-        held = held or (y is not None and anchor[y])
+            run, held = [y], 0
+        held += words[y] if y is not None else 0
         before = (x, y)
     known, left, y = set(a), [], 0
-    while y < len(b):  # stretches of common lines with an anchor that are not gone as a whole
+    while y < len(b):  # stretches of common lines of so many words that are not gone as a whole
         z = y
         while z < len(b) and b[z] in known:
             z += 1
-        if any(anchor[y:z]) and not all(gone[y:z]):
+        if not all(gone[y:z]) and sum(words[y:z]) >= least:
             left.append((y, z))
         y = z + 1
     if left:
         longest = runs_in(a, [v for y, z in left for v in [*b[y:z], None]])
         at = 0
         for y, z in left:
-            low = z  # first place that a run with an anchor covers, from the end of the stretch on
-            last = [-1] * (z - y)
-            for i in range(z - y):
-                last[i] = i if anchor[y + i] else last[i - 1] if i else -1
+            low = z  # first place that a run of so many words covers, from the end of the stretch on
+            total = [0, *accumulate(words[y:z])]
             for i in range(z - y - 1, -1, -1):
                 begin = i - longest[at + i] + 1
-                if last[i] >= begin:
+                if total[i + 1] - total[begin] >= least:
                     low = min(low, y + begin)
                 if y + i >= low:
                     gone[y + i] = True
@@ -167,7 +191,7 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     """One row per input row: (doc_id, n_lines, n_removed, text) and the columns named in ``keep``.
 
     Lines end at ``\\n`` and are compared without the white space around them; the kept ones are joined by ``\\n`` as they
-    were. Documents are in the order of their ids. Defined cases: null and empty texts have no lines and become empty;
+    were. Documents are in the order of their ids. ``min_words`` is what a common block holds at least. Defined cases: null and empty texts have no lines and become empty;
     null ids come first; rows that share an id are separate documents in the order of their texts, so of repeated rows
     the first stays whole; blank lines go only inside an aligned block; an empty table gives an empty result; other
     columns are not read, whatever their names.
@@ -179,10 +203,10 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     dealt = deal(docs, n_blocks, id_col, text_col, {e: F.col(c) for e, c in zip(extra, keep)})
 
     def distinct(lines: Lines):
-        """(hash, first document, several documents) of each distinct line that can make partners, by bucket."""
-        at = np.flatnonzero(lines.words >= min_words)
-        order = at[np.lexsort((lines.doc[at], lines.hash[at]))]
-        h, doc = lines.hash[order], lines.doc[order]
+        """(hash, first document, several documents) of each distinct run that can make partners, by bucket."""
+        at = lines.runs
+        order = at[np.lexsort((lines.doc[at], lines.run[at]))]
+        h, doc = lines.run[order], lines.doc[order]
         new = np.r_[True, h[1:] != h[:-1]][:len(h)]
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(h)] - 1
@@ -194,14 +218,14 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     def find(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         table, ids = in_order(table)
-        value, holder, several, bucket = distinct(Lines(table["text"]))
+        value, holder, several, bucket = distinct(Lines(table["text"], min_words))
         buckets, first = np.unique(bucket, return_index=True)
         cuts = [*first.tolist(), len(value)]
         return rows(block, buckets, [Packer().put(value[a:b]).put(ids[holder[a:b]]).put(holder[a:b]).put(several[a:b])
                                      .squeezed() for a, b in zip(cuts, cuts[1:])])
 
     def resolve(table: pa.Table) -> pa.Table:
-        """To each block: for its lines that several documents hold, the first holder; to holders: the cells to serve."""
+        """To each block: for its runs that several documents hold, the first holder; to holders: the cells to serve."""
         value, ids, holder, several, n = [], [], [], [], []
         for data in table["data"].to_pylist():
             p = Packer.of_squeezed(data)
@@ -215,7 +239,7 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
         new = np.r_[True, value[order][1:] != value[order][:-1]]
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        lead = order[new]  # the entry of each line's first holder
+        lead = order[new]  # the entry of each run's first holder
         shared = (np.bincount(group) > 1) | (np.bincount(group, weights=several) > 0)
         tell = shared[group]
         asks = tell & (several | (lead[group] != np.arange(len(group))))  # its block has a document after the holder
@@ -235,7 +259,7 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
             return rows(0, 0, [])
         block = table["block"][0].as_py()
         table, _ = in_order(table)
-        lines = Lines(table["text"])
+        lines = Lines(table["text"], min_words)
         value, _, _, bucket = distinct(lines)
         begin = np.searchsorted(bucket, np.arange(n_buckets))
         pairs, serve, line, from_block, from_doc = [], [], [], [], []
@@ -244,13 +268,13 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
             line.append(p.get(np.int64) + begin[b]), from_block.append(p.get(np.int64)), from_doc.append(p.get(np.int64))
             serve.append(p.get(np.int64).reshape(-1, 2))
         line, from_block, from_doc = map(np.concatenate, (line, from_block, from_doc))
-        # the block's documents that hold those lines, each with the line's first holder
+        # the block's documents that hold those runs, each with the run's first holder
         order = np.argsort(value[line])
         known = value[line][order]
-        at = np.flatnonzero(lines.words >= min_words)
+        at = lines.runs
         if len(known):
-            place = np.minimum(np.searchsorted(known, lines.hash[at]), len(known) - 1)
-            hit = known[place] == lines.hash[at]
+            place = np.minimum(np.searchsorted(known, lines.run[at]), len(known) - 1)
+            hit = known[place] == lines.run[at]
             who, src = lines.doc[at][hit], order[place[hit]]
             pairs = np.unique(np.stack([who, from_block[src], from_doc[src]], 1), axis=0)
             pairs = pairs[(pairs[:, 1] != block) | (pairs[:, 2] != pairs[:, 0])]
@@ -275,7 +299,7 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
             n = lines.first[used + 1] - lines.first[used]
             where = expand(lines.first[used], n)
             data.append(Packer().put(np.c_[o, nth]).put(n).put(lines.hash[where])
-                        .put(lines.words[where] >= min_words).squeezed())
+                        .put(np.minimum(lines.words[where], max(1, min_words)).astype(np.int32)).squeezed())
         return rows(block, buckets, data)
 
     def decide(table: pa.Table) -> pa.Table:
@@ -285,16 +309,16 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
             p = Packer.of_squeezed(data)
             o, n = p.get(np.int64).reshape(-1, 6).tolist(), p.get(np.int64)
             ends = np.cumsum(n).tolist()
-            hashes, anchor = p.get(np.uint64).tolist(), p.get(bool).tolist()
+            hashes, words = p.get(np.uint64).tolist(), p.get(np.int32).tolist()
             for side, b, d, cell, own, nth in o:
                 s = slice(ends[nth] - int(n[nth]), ends[nth])
                 if side:
-                    later.append((i, (b, d, cell), own, hashes[s], anchor[s]))
+                    later.append((i, (b, d, cell), own, hashes[s], words[s]))
                 else:
                     holders[b, d, cell] = hashes[s]
         found: dict[int, list] = {}
-        for i, key, own, hashes, anchor in later:
-            gone = aligned(holders[key], hashes, anchor)
+        for i, key, own, hashes, words in later:
+            gone = aligned(holders[key], hashes, words, max(1, min_words))
             if gone:
                 found.setdefault(i, []).append(np.stack([np.full(len(gone), own), np.array(gone)], 1))
         return rows(blocks[list(found)], table["bucket"][0].as_py(),
@@ -302,7 +326,7 @@ def line_dedup(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
         table, _ = in_order(table, extra)
-        lines = Lines(table["text"])
+        lines = Lines(table["text"], min_words)
         gone = np.zeros(len(lines.doc), bool)
         for data in replies["data"].to_pylist():
             own, line = Packer.of_squeezed(data).get(np.int64).reshape(-1, 2).T

@@ -94,6 +94,45 @@ def test_passages_that_stand_twice(spark):
     assert {r.doc_id: r.text for r in line_dedup(df).collect()} == {1: crossed[0][1], 2: "d\ne\nf"}
 
 
+def brute_runs(docs, least=5):
+    """By definition: each document against the first holder of every run of lines with five words, over all runs."""
+    count = lambda x: len(x.split()) + sum("\u3041" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in x) // 2
+    seqs = [[x.strip(WHITE) for x in t.split("\n")] if t else [] for t in docs]
+    spans = [{tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)} for s in seqs]
+    out = []
+    for p, s in enumerate(seqs):
+        words, partners, gone = [count(x) for x in s], set(), set()
+        for i in range(len(s)):
+            j = next((j for j in range(i + 1, len(s) + 1) if sum(words[i:j]) >= least), None)
+            if words[i] and j:
+                partners.add(next(q for q in range(len(seqs)) if tuple(s[i:j]) in spans[q]))
+        for q in partners - {p}:
+            for i in range(len(s)):
+                for j in range(i + 1, len(s) + 1):
+                    if sum(words[i:j]) >= least and tuple(s[i:j]) in spans[q]:
+                        gone |= set(range(i, j))
+        out.append((p, len(s), len(gone), "\n".join(x for i, x in enumerate(docs[p].split("\n")) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_short_lines(spark, seed):
+    r = random.Random(seed)
+    pool = ["one", "two", "a b", "c d", "", "e f g", "five words in this line", "\u6f22\u5b57\u306e\u884c\u306b", "\u4e00\u884c"]
+    verse = "so much\ndepends upon\n\na red\nwheel barrow"
+    docs = []
+    for i in range(50):
+        lines = [r.choice(["", " "]) + r.choice(pool) if r.random() < .7 else f"own{i}x{r.random()}" for _ in range(r.randrange(11))]
+        if i % 4 == 0:
+            lines.insert(r.randrange(len(lines) + 1), verse)
+        docs.append("\n".join(lines))
+    docs += [verse, verse, "\u6f22" * 7, "\u6f22" * 7, "x\n" + "\u6f22" * 10, "y\n" + "\u6f22" * 10 + "\nz", "k\nl m\nn", "k\nl m\nn"]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(docs)], SCHEMA)
+    got = sorted(tuple(x) for x in line_dedup(df, n_blocks=5, n_buckets=3).collect())
+    assert got == brute_runs(docs)
+    assert got[51][3] == "" and got[53][3] == docs[53] and got[55][3] == "y\nz" and got[57][3] == docs[57]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([(0, "x", "", "")], SCHEMA).where(F.lit(False))
     assert line_dedup(none).count() == 0

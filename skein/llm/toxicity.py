@@ -36,7 +36,6 @@ PREFIXES = (4, 5, 6)
 MIN_TOXIC = 5           # toxic sample documents that must hold a feature
 FEATURES_MAX = 100_000  # features kept, those in most toxic sample documents
 LABEL_ODDS = 3.0        # log odds from which a token of a toxic document is labelled toxic
-CRF_DOCS, CRF_BYTES = 800, 20_000  # documents, of at most so many bytes, that the CRF is fitted on
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,11 +134,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic") -> Model:
+          label_col: str = "toxic", crf_docs: int = 400, crf_bytes: int = 20_000) -> Model:
     """Learn from the rows of ``labels`` that are not held out, at most ``per_class`` documents of each label.
 
-    Documents whose label is null, or that the table labels both ways, teach nothing; without both labels the model
-    gives every text the share of toxic labels.
+    The chain's weights are fitted on the first ``crf_docs`` of these of each label that have at most ``crf_bytes`` bytes;
+    features and the regression come from all of them. Documents whose label is null, or that the table labels both
+    ways, teach nothing; without both labels, or where no feature is in MIN_TOXIC toxic documents and more frequent in
+    them than in clean ones, the model gives every text the share of toxic labels.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -192,11 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str
         return model
     odds = np.log((n_toxic + .5) / (size[1] + 1)) - np.log((n_clean + .5) / (size[0] + 1))
     model.feature, model.odds = feature[odds >= 1], np.minimum(odds[odds >= 1], 6.0)
-    text = (sample.where(F.octet_length("text") <= CRF_BYTES)
+    if not len(model.feature):
+        model.rest = share[1] / (share[0] + share[1])
+        return model
+    text = (sample.where(F.octet_length("text") <= crf_bytes)
             .select("text", "toxic", F.xxhash64("doc_id").alias("h"), "doc_id"))
     few = []
     for toxic in (0, 1):
-        few += text.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(CRF_DOCS // 2).collect()
+        few += text.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(crf_docs).collect()
     fit_crf(model, [r["text"] for r in few], np.array([r["toxic"] for r in few]))
     shared = spark.sparkContext.broadcast(model)
 

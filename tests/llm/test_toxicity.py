@@ -78,3 +78,11 @@ def test_cases(spark, tables, model):
     assert score_toxicity(df.where(F.lit(False)), model).count() == 0
     none = train(tables[0], tables[1].where(F.lit(False)))
     assert [r.score for r in score_toxicity(df, none).collect()] == [0.0] * 4
+
+
+def test_no_feature(spark):
+    ids = [i for i, held in spark.range(40).select("id", held_out(F.col("id"))).collect() if not held][:20]
+    docs = spark.createDataFrame([(i, "awful words" if n < 4 else "fine words") for n, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n < 4)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    got = score_toxicity(docs, train(docs, labels)).collect()
+    assert len(got) == 20 and {(r.score, len(r.spans)) for r in got} == {(0.2, 0)}

@@ -34,6 +34,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(raw, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def node(host: Column) -> Column:
+    """The node of a host in the graph: without its port."""
+    return F.regexp_replace(host, r":\d+$", "")
+
+
 def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, null where none does. ``rules`` is a short fixed list."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -71,7 +76,7 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(src, dst, n): links between different hosts, counted; ``pages`` has host and html."""
     found = pages.select(F.col("host").alias("src"),
                          F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))).alias("to"))
-    return (found.select("src", F.regexp_replace(F.translate("to", UPPER, LOWER), r":\d+$", "").alias("dst"))
+    return (found.select("src", node(F.translate("to", UPPER, LOWER)).alias("dst"))
             .where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
@@ -89,7 +94,7 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance:
 
     Seeds of a host are shares of its pages: trust = share accepted by an allow rule, distrust = share rejected by a
     block rule. Defined cases: a null url or one without ``://`` has empty host and path, no rule, verdict ``allow``
-    (an empty host is no node of the graph); null html has no links; repeated rows give repeated results and count in
+    (an empty host is no node of the graph); hosts that differ in the port alone are one node; null html has no links; repeated rows give repeated results and count in
     the shares; an empty table gives an empty result; further columns are not read.
     """
     ensure_checkpoint_dir(pages.sparkSession)
@@ -97,11 +102,11 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance:
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"),
                           F.col(html_col).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parsed.withColumns({"rule": rule, "ruled": verdict})
-    seeds = (judged.where(F.col("host") != "").groupBy("host")
+    judged = parsed.withColumns({"rule": rule, "ruled": verdict, "node": node(F.col("host"))})
+    seeds = (judged.where(F.col("node") != "").groupBy(F.col("node").alias("host"))
              .agg((F.count(F.when(F.col("ruled") == "allow", 1)) / F.count(F.lit(1))).alias("trust"),
                   (F.count(F.when(F.col("ruled") == "block", 1)) / F.count(F.lit(1))).alias("distrust"))).checkpoint()
-    edges = host_edges(parsed).checkpoint()
+    edges = host_edges(parsed.withColumn("host", node(F.col("host")))).checkpoint()
     trust, distrust = seeds.select("host", F.col("trust").alias("seed")), seeds.select("host", F.col("distrust").alias("seed"))
     if not edges.isEmpty():
         trust = propagate(_shares(edges, "src", "dst"), trust.where("seed > 0"), damping, tolerance) \
@@ -112,6 +117,7 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance:
              .unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("seed").alias("d")))
              .groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
              .select("host", ((F.col("d") >= threshold) & (F.col("d") > F.col("t"))).alias("bad")))
-    return (judged.drop("html").join(hosts, "host", "left")
+    hosts = hosts.withColumnRenamed("host", "node")
+    return (judged.drop("html").join(hosts, "node", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict")))

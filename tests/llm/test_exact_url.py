@@ -118,5 +118,12 @@ def test_urls_hub(spark):
     assert got.pop("bad.net") == "block" and got.pop("farm.com") == "block" and set(got.values()) == {"allow"}
 
 
+def test_urls_port(spark):
+    pages = [(1, "https://bad.net/", "", ""), (2, "https://farm.com:8080/x", '<a href="//bad.net/">b</a>', ""),
+             (3, "https://far.com:81/", '<a href="//farm.com:8080/">f</a>', ""), (4, "https://farm.com/y", "", "")]
+    got = {r.host: r.verdict for r in filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == {"bad.net": "block", "farm.com:8080": "block", "farm.com": "block", "far.com:81": "block"}
+
+
 def test_urls_empty(spark):
     assert filter_urls(spark.createDataFrame([(0, "", "", "")], PAGES).where(F.lit(False))).count() == 0

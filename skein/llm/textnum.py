@@ -1,4 +1,8 @@
-"""Words, hashes and sliding minima of text held in Arrow buffers, as NumPy passes without a Python object per word."""
+"""Words, hashes and sliding minima of text held in Arrow buffers, as NumPy passes without a Python object per word.
+
+Spans (words, lines, windows) are hashed by two polynomials over the field of the prime ``PRIME`` with independent values
+for each symbol: 62 bits, without the regular collisions that polynomials modulo a power of two have for some texts.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +43,43 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-_POW, _IPOW = powers(PIECE * 2)
+PRIME = (1 << 31) - 1
+_P, _31 = U(PRIME), U(31)
+BASES = (0x3C6EF372 % PRIME, 0x1B873593 % PRIME)
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """Numbers modulo PRIME, made smaller: below 2**32 from numbers below 2**62; twice, any are at most PRIME + 5."""
+    high = x >> _31
+    high += x & _P
+    return high
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo PRIME, below PRIME."""
+    x = fold(fold(x))
+    x -= (x >= _P) * _P
+    return x
+
+
+def field_powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n."""
+    out = np.ones(max(1, n), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = reduced(out[:more] * U(pow(base, done, PRIME)))
+        done += more
+    return out[:n]
+
+
+_FIELD = [(field_powers(b, PIECE * 2), field_powers(pow(b, -1, PRIME), PIECE * 2)) for b in BASES]
+_BYTE_HALVES = np.stack([reduced(BYTE >> U(33)), reduced(BYTE & _P)])
+
+
+def halves(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two values below 2**31 of each 64-bit symbol hash."""
+    return symbols >> U(33), symbols & _P
 
 
 class Running:
@@ -49,19 +89,24 @@ class Running:
     """
 
     def __init__(self, symbols, n: int):
-        self.total = np.zeros(n + 1, np.uint64)
+        self.total = np.zeros((2, n + 1), np.uint32)
         for a in range(0, n, PIECE):
             b = min(n, a + PIECE)
-            part = self.total[a + 1:b + 1]
-            np.cumsum(symbols(a, b) * _POW[:b - a], out=part)
-            part *= U(pow(_ODD, a, 2**64))
-            part += self.total[a]
-        self.inverse = np.array([pow(_INV, a, 2**64) for a in range(0, n + 1, PIECE)], np.uint64)
+            for total, x, base, (pw, _) in zip(self.total, halves(symbols(a, b)), BASES, _FIELD):
+                part = fold(np.cumsum(fold(x * pw[:b - a]), dtype=np.uint64))
+                part *= U(pow(base, a, PRIME))
+                part += U(total[a])
+                total[a + 1:b + 1] = reduced(part)
+        self.inverse = [np.array([pow(base, -a, PRIME) for a in range(0, n + 1, PIECE)], np.uint64) for base in BASES]
 
     def parts(self, starts: np.ndarray, lengths) -> np.ndarray:
         """Hashes of ``lengths`` symbols from ``starts`` on, equal for equal parts (not spread, see :func:`mix`)."""
-        return ((self.total[starts + lengths] - self.total[starts]) * self.inverse[starts // PIECE]
-                * _IPOW[starts % PIECE])
+        out = np.zeros(len(starts), np.uint64)
+        stops, piece, rest = starts + lengths, starts // PIECE, starts % PIECE
+        for total, inverse, (_, ipw), shift in zip(self.total, self.inverse, _FIELD, (U(31), U(0))):
+            x = fold((total[stops].astype(np.uint64) + _P - total[starts]) * inverse[piece])
+            out |= reduced(fold(x) * ipw[rest]) << shift
+        return out
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +148,16 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
         a, b = int(starts[i]), int(ends[j - 1])
-        pw, inv = (_POW, _IPOW) if b - a <= len(_POW) - 1 else powers(b - a + 1)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(BYTE[buf[a:b]] * pw[:b - a], out=total[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64)
+        if b - a < 2 * PIECE:
+            part = np.zeros(j - i, np.uint64)
+            for of_byte, (pw, ipw), shift in zip(_BYTE_HALVES, _FIELD, (U(31), U(0))):
+                total = np.zeros(b - a + 1, np.uint64)
+                np.cumsum(fold(of_byte[buf[a:b]] * pw[:b - a]), out=total[1:])
+                part |= reduced(fold(fold(total[e] - total[s])) * ipw[s]) << shift
+        else:  # one long span
+            part = Running(lambda x, y: BYTE[buf[a + x:a + y]], b - a).parts(s, e - s)
+        out[i:j] = mix(part) + (e - s).astype(np.uint64)
         i = j
     return mix(out)
 

@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .blocks import Packer, counts, expand, pieces
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 ROW = "block long, bucket int, data binary"
 # a single space between two other characters always starts a pre-token, whatever stands before it
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -142,7 +142,7 @@ def _blocks(batches, size: int):
 def _numbered(texts, pattern, n_buckets: int):
     """Words of a block in bucket order, their buckets, and for each text its sequence of places among them."""
     words = _Words(pattern)
-    found = [words.text(t) if t else () for t in texts]
+    found = [np.array(words.text(t) if t else (), np.uint32) for t in texts]
     raw = [w.encode("utf-8", "surrogatepass") for w in words.number]
     bucket = np.array([zlib.crc32(w) for w in raw], np.int64) % n_buckets
     # by bucket, then by bytes: neighbours share their beginnings, which compresses
@@ -200,8 +200,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         split = regex.compile(pattern)
         for block, own, texts in _blocks(batches, block_bytes):
             words, _, place, found = _numbered(texts, split, n_buckets)
+            del texts
             n = np.array([len(x) for x in found], np.int64)
-            seq = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+            seq = np.concatenate(found)
+            del found
             # the rows without their texts travel with the positions
             rest = pa.Table.from_batches([own]).drop_columns("text")
             sink = pa.BufferOutputStream()

@@ -199,7 +199,7 @@ def features(block: Block, nth: int, total: int) -> list[str]:
     if "©" in block.text:
         out.append("©")
     if n < 30:
-        out += {"w:" + w for w in WORD.findall(block.text[:300].lower()) if w in HINTS}
+        out += {"w:" + w for w in WORD.findall(block.text.lower()) if w in HINTS}
     return out
 
 

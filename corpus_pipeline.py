@@ -54,7 +54,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_encode(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source", "n_chars"),
-                      block_bytes=4 << 20, with_bytes=True).select(
+                      with_bytes=True).select(
         "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 

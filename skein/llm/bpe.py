@@ -22,16 +22,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .blocks import Packer, counts, expand, pieces
 
-BLOCK_BYTES = 4 << 20
-ROW = "block long, bucket int, data binary"
+BLOCK_BYTES = 8 << 20
 # a single space between two other characters always starts a pre-token, whatever stands before it
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -185,22 +186,15 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                          StructField("ids", ArrayType(IntegerType())), *kept,
                          *([StructField("decoded", BinaryType())] if with_bytes else [])])
 
-    def vocabulary(batches):
+    def words_and_positions(batches):
         split = regex.compile(pattern)
-        for block, _, texts in _blocks(batches, block_bytes):
-            words, bucket, _, _ = _numbered(texts, split, n_buckets)
+        for block, own, texts in _blocks(batches, block_bytes):
+            words, bucket, place, found = _numbered(texts, split, n_buckets)
+            del texts
             buckets, first = np.unique(bucket, return_index=True)
             cuts = [*first.tolist(), len(words)]
             data = [Packer().put(np.array([len(w) for w in words[a:b]], np.uint32))
                     .put(np.frombuffer(b"".join(words[a:b]), np.uint8)).squeezed() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(buckets, pa.int32()),
-                                              pa.array(data, pa.binary())], ["block", "bucket", "data"])
-
-    def positions(batches):
-        split = regex.compile(pattern)
-        for block, own, texts in _blocks(batches, block_bytes):
-            words, _, place, found = _numbered(texts, split, n_buckets)
-            del texts
             n = np.array([len(x) for x in found], np.int64)
             seq = np.concatenate(found)
             del found
@@ -211,10 +205,16 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 stream.write_table(rest)
             p = Packer().put(np.frombuffer(sink.getvalue(), np.uint8))
             p.put(n).put(np.array([len(words)])).put(planes(place[seq]))
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()),
-                                              pa.array([p.squeezed()], pa.binary())], ["block", "bucket", "data"])
+            data.append(p.squeezed())
+            yield pa.RecordBatch.from_arrays([pa.array([*buckets.tolist(), -1 - block], pa.int64()),
+                                              pa.array([block] * len(data), pa.int64()), pa.array(data, pa.binary())],
+                                             ["key", "block", "data"])
 
     def encode(table: pa.Table) -> pa.Table:
+        bucket = table["key"][0].as_py()
+        if bucket < 0:  # positions
+            return pa.table({"key": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()),
+                             "data": pa.array([], pa.binary())})
         known, rank, out = {}, ranks.value, []
         for data in table["data"].to_pylist():
             p = Packer.of_squeezed(data)
@@ -230,9 +230,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             flat = np.fromiter(chain.from_iterable(ids), np.int32)
             size = np.array([len(x) for x in ids], np.uint32)
             out.append(Packer().put(planes(size)).put(planes(flat)).squeezed())
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "data": pa.array(out, pa.binary())})
+        return pa.table({"key": pc.subtract(-1, table["block"]), "bucket": pa.array([bucket] * len(out), pa.int64()),
+                         "data": pa.array(out, pa.binary())})
 
     def assemble(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if blocks.num_rows and blocks["key"][0].as_py() >= 0:  # words
+            return none
         order = np.argsort(replies["bucket"].to_numpy())
         data = replies["data"].to_pylist()
         sizes, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
@@ -258,9 +261,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                          *([pa.array([_bytes_of(out[a:b], table.value) for a, b in zip(at, at[1:])], pa.binary())] if with_bytes else [])],
                         names=["doc_id", "n_tokens", "ids", *extra, *(["decoded"] if with_bytes else [])])
 
-    words = source.mapInArrow(vocabulary, ROW).groupBy("bucket").applyInArrow(encode, ROW)
-    found = (source.mapInArrow(positions, ROW).groupBy("block").cogroup(words.groupBy("block"))
-             .applyInArrow(assemble, schema))
+    # words by bucket and positions by block are dealt in one exchange, which both rounds read
+    none = to_arrow_schema(schema).empty_table()
+    dealt = source.mapInArrow(words_and_positions, "key long, block long, data binary")
+    words = dealt.groupBy("key").applyInArrow(encode, "key long, bucket long, data binary")
+    found = dealt.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, schema)
     return found.select("doc_id", "n_tokens", "ids", *[F.col(e).alias(c) for e, c in zip(extra, keep)],
                         *(["decoded"] if with_bytes else []))
 

@@ -13,7 +13,10 @@ from .html_extract import extract_text
 from .html_extract import train as train_html
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
+from .merkle import OP11_SQL, folded, merkle_manifest, proof_digest
+from .resample import OP12_SQL, resample
 from .substring_dedup import OP3_SQL, substring_dedup
+from .tokenfile import read_token_files, token_files
 from .toxicity import held_out, score_toxicity, train
 from .url_filter import filter_urls
 
@@ -74,6 +77,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = merkle_manifest(table(spark, sf_dir, "documents"), tampered=(touched, {"text": lowered}))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+        folded(F.coalesce("tampered_leaf", "leaf"), F.col("path")).alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, path)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,9 +108,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }

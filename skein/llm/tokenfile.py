@@ -1,7 +1,7 @@
 """Token ids as binary files: concatenated ids with Elias-Fano encoded document boundaries.
 
-Texts are encoded where they are read; their packed ids, not the texts, are dealt to ranges of document ids. Each range is
-cut into segments of bounded size, and each segment is one file, written by Spark's own file writer so that a lost task
+Texts are dealt to ranges of document ids and encoded there. Each range is cut into segments of bounded size, and each
+segment is one file, written by Spark's own file writer so that a lost task
 leaves nothing behind and any store that Spark writes to will do. A segment holds, all little-endian:
 
 ====================  ==================================================================================================
@@ -21,25 +21,26 @@ of 64-bit offsets.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..util import bounded_broadcast
-from .blocks import pieces
-from .bpe import _CUT
+from .blocks import expand, pieces
 
 MAGIC = b"SKTOKEN1"
 SAMPLE = 256
 SEGMENT_BYTES = 8 << 20
-BATCH_BYTES = 1 << 19   # of text that the tokenizer gets at once
+BATCH_BYTES = 2 << 20   # of text that is encoded at once; a longer text is encoded alone
 
 
 @dataclass
@@ -137,67 +138,93 @@ class Segment:
         return start, self.ends.select(which).astype(np.int64)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, id_col: str = "doc_id",
-                 text_col: str = "text", special_as_text: bool = True) -> DataFrame:
-    """(doc_id, n, ids binary): the ids of each text by the tokenizers library, and ``end_id``, as little-endian numbers of
-    two bytes where the vocabulary allows, else four. The tokenizer's file is read by the driver and broadcast.
+class Encoder:
+    """Ids of texts by the tokenizers library, each distinct piece between two single spaces once.
 
-    Longer texts than a batch are handed over in parts cut before single spaces, where a byte-level tokenizer cuts too.
+    A byte-level tokenizer begins a new token at a single space between two other characters, whatever stands around; so
+    texts are cut there (and nowhere else), the distinct pieces are encoded, and their ids put together by position. What
+    is known of earlier pieces is kept up to ``KNOWN`` pieces, then forgotten.
     """
-    spark = docs.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        own = spark.sparkContext.broadcast(f.read())
+    KNOWN = 1 << 19
 
-    def encode(batches):
+    def __init__(self, tokenizer_json: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_str(own.value)
-        tokenizer.encode_special_tokens = special_as_text
-        width = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        close = np.array([] if end_id is None else [end_id], width)
-
-        def ids_of(texts):
-            return [np.array(e.ids, width) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        for batch in pieces(batches, 1, BATCH_BYTES):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if len(texts) == 1 and len(texts[0]) > BATCH_BYTES:
-                found = [np.concatenate([x for part in parts_of(texts[0]) for x in ids_of([part])])]
-            else:
-                found = ids_of(texts)
-            found = [np.r_[x, close] for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n", "ids"])
-
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(encode, "doc_id long, n long, ids binary"))
-
-
-def parts_of(text: str, size: int = BATCH_BYTES):
-    """A long text in parts of at least ``size`` characters, each but the first beginning with a single space."""
-    a = 0
-    while len(text) - a > size:
-        cut = _CUT.search(text, a + size)
-        if cut is None:
-            break
-        yield text[a:cut.start()]
-        a = cut.start()
-    yield text[a:]
-
-
-def write_token_files(encoded: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, width: int = 2) -> None:
-    """Write ``encoded`` (doc_id, n, ids; a table or checkpointed) as segments in ascending order of the ids under ``path``.
-
-    Null ids come first; rows that share an id stand in the order of the table. A segment ends with the document that fills
-    ``segment_bytes``.
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.known: dict[str, np.ndarray] = {}
+
+    def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct pieces, which of them stand in all texts one after the other, first of each text and the end)."""
+        lists = pc.split_pattern(texts, " ")
+        coded = pc.dictionary_encode(pc.list_flatten(lists))
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        n = pc.list_value_length(lists).to_numpy()
+        first = np.cumsum(n) - n
+        opens = np.zeros(len(code), bool)
+        opens[first] = True
+        # no cut beside other white space: such pieces go together with their neighbours
+        left = np.array([not w or w[0].isspace() for w in words], bool)[code]
+        right = np.array([not w or w[-1].isspace() for w in words], bool)[code]
+        joins = ~opens & (left | np.r_[False, right[:-1]])
+        # the first piece of a text has no space before it
+        units = [" " + w for w in words]
+        place = {}
+        which = code.copy()
+        start = np.flatnonzero(~joins)
+        size = np.diff(np.r_[start, len(code)])
+        for a, k in zip(start[opens[start] | (size > 1)].tolist(), size[opens[start] | (size > 1)].tolist()):
+            unit = ("" if opens[a] else " ") + " ".join([words[c] for c in code[a:a + k].tolist()])
+            at = place.get(unit)
+            if at is None:
+                at = place[unit] = len(units)
+                units.append(unit)
+            which[a] = at
+        return units, which[start], np.searchsorted(start, np.r_[first, len(code)])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text and the end)."""
+        units, which, first = self.units(pc.fill_null(texts, ""))
+        used, which = np.unique(which, return_inverse=True)
+        units = [units[u] for u in used.tolist()]
+        if len(self.known) > self.KNOWN:
+            self.known = {}
+        new = [u for u in units if u not in self.known]
+        for a in range(0, len(new), 4096):
+            for u, e in zip(new[a:a + 4096], self.tokenizer.encode_batch_fast(new[a:a + 4096], add_special_tokens=False)):
+                self.known[u] = np.array(e.ids, np.uint32)
+        found = [self.known[u] for u in units]
+        size = np.array([len(x) for x in found], np.int64)
+        pool = np.concatenate([np.zeros(0, np.uint32), *found])
+        per = size[which]
+        return pool[expand((np.cumsum(size) - size)[which], per)], np.r_[0, np.cumsum(per)][first]
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = 0, id_col: str = "doc_id",
+                      text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, special_as_text: bool = True) -> None:
+    """Deal the texts of ``docs`` (a table or checkpointed) to ranges of their ids, encode them there and write segments in
+    ascending order of the ids under ``path``.
+
+    Null ids come first; rows that share an id stand in the order of the table. ``end_id`` closes each document. Ids have
+    two bytes where the vocabulary allows, else four. A segment ends with the document that fills ``segment_bytes``. The
+    tokenizer's file is read by the driver and broadcast; its kind must be byte-level BPE without a space put before texts.
     """
-    dealt = encoded.withColumn("_row", F.monotonically_increasing_id())
+    with open(tokenizer_path, encoding="utf-8") as f:
+        text = f.read()
+    kind = json.loads(text).get("pre_tokenizer") or {}
+    if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space"):
+        raise ValueError("not a byte-level tokenizer without a space put before texts")
+    own = docs.sparkSession.sparkContext.broadcast(text)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.monotonically_increasing_id().alias("_row"))
     by = [F.col("doc_id").asc_nulls_first(), F.col("_row").asc()]
-    ranged = dealt.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "n", "ids")
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def segments(batches):
         part, place = TaskContext.get().partitionId(), 0
+        encode = Encoder(own.value, special_as_text)
+        width = "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        close = np.array([] if end_id is None else [end_id], width)
         doc_ids, sizes, data, filled = [], [], [], 0
 
         def segment():
@@ -205,13 +232,14 @@ def write_token_files(encoded: DataFrame, path: str, segment_bytes: int = SEGMEN
             base = int(known[0]) if len(known) else 0
             steps = known.astype(np.uint64) - np.int64(base).astype(np.uint64)
             return Segment(part, place, len(doc_ids) - len(known), EliasFano.of(steps), base,
-                           EliasFano.of(np.cumsum(np.array(sizes, np.int64))),
-                           np.frombuffer(b"".join(data), f"<u{width}")).bytes()
+                           EliasFano.of(np.cumsum(np.array(sizes, np.int64))), np.concatenate(data)).bytes()
 
-        for batch in batches:
-            for d, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                doc_ids.append(d), sizes.append(n), data.append(ids)
-                filled += len(ids) + 8
+        for batch in pieces(batches, 1, BATCH_BYTES):
+            ids, at = encode(batch.column(1))
+            ids, at = ids.astype(width), at.tolist()
+            for d, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
+                doc_ids.append(d), sizes.append(b - a + len(close)), data.extend((ids[a:b], close))
+                filled += sizes[-1] * ids.itemsize + 8
                 if filled >= segment_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([segment()], pa.binary())], ["value"])
                     place, filled = place + 1, 0
@@ -277,11 +305,6 @@ def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
     Defined cases: null and empty texts have the end id alone; null ids come before all others; repeated ids and rows are
     documents of their own; an empty table gives files without documents; further columns are not read.
     """
-    from tokenizers import Tokenizer
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = path or scratch_path(spark, "token-files")
-    encoded = encode_texts(docs, tokenizer_path, end_id, id_col, text_col).checkpoint()
-    width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-    write_token_files(encoded, path, segment_bytes, width)
+    path = path or scratch_path(docs.sparkSession, "token-files")
+    write_token_files(docs, tokenizer_path, path, end_id, id_col, text_col, segment_bytes)
     return path

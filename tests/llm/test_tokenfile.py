@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -69,16 +70,24 @@ def test_files(spark, segment_bytes):
         assert seg.ids.dtype == np.uint16 and f["content"][-1] == 10
 
 
-def test_long_text(spark, monkeypatch):
-    """Texts beyond a batch are cut where the tokenizer cuts."""
+def test_cuts(monkeypatch):
+    """Texts are cut where the tokenizer cuts, and forgotten pieces are encoded again."""
     r = random.Random(9)
-    text = "".join(r.choice(["word", " ", "  ", "\n", " x", "12", "é", "'s "]) for _ in range(6000))
-    parts = list(tokenfile.parts_of(text, 50))
-    assert len(parts) > 100 and "".join(parts) == text
+    monkeypatch.setattr(tokenfile.Encoder, "KNOWN", 30)
+    with open(PATH, encoding="utf-8") as f:
+        encode = tokenfile.Encoder(f.read())
     tokenizer = Tokenizer.from_file(PATH)
-    found = [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids]
-    assert found == tokenizer.encode(text, add_special_tokens=False).ids
-    docs = [(1, "word " * 300_000), (2, "a" * 5000), (3, "tail")]
+    tokenizer.encode_special_tokens = True
+    bits = ["word", " ", " ", "  ", "\n", " x", "12", "é", "'s ", "\u00a0", "\t ", "\u2028", "\x1c", "\u180e", "日本 ", "<|endoftext|>"]
+    for _ in range(40):
+        texts = ["".join(r.choices(bits, k=r.randrange(50))) for _ in range(20)] + ["", " ", "  ", "a", " a", "a "]
+        ids, at = encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_text(spark):
+    docs = [(1, "word " * 600_000), (2, "a" * 5000), (3, "tail"), (4, " " * 3000 + "x  " * 2000)]
     assert sorted(run(spark, docs)[0]) == brute(docs)
 
 

@@ -33,9 +33,6 @@ from .textnum import BYTE, LOWER, PIECE, U, mix, powers, utf8, word_spans
 BETWEEN = np.ones(256, bool)  # tokens are runs of ASCII letters, digits and non-ASCII bytes
 BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 PREFIXES = (4, 5, 6)
-MIN_TOXIC = 5           # toxic sample documents that must hold a feature
-FEATURES_MAX = 100_000  # features kept, those in most toxic sample documents
-LABEL_ODDS = 3.0        # log odds from which a token of a toxic document is labelled toxic
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,13 +104,13 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(total), most, 10 * total / np.maximum(n, 1), np.log1p(n) / 5], axis=1)
 
 
-def fit_crf(model: Model, texts: list[str], toxic: np.ndarray) -> None:
+def fit_crf(model: Model, texts: list[str], toxic: np.ndarray, label_odds: float) -> None:
     """Fit emission and transition weights to tokens labelled from their documents."""
     features, _, _, first = token_features(pa.array(texts, pa.string()))
     x = model.log_odds(features)
     if not x.shape[1]:
         return
-    label = (np.repeat(toxic, np.diff(first)) == 1) & (x[-1] >= LABEL_ODDS)
+    label = (np.repeat(toxic, np.diff(first)) == 1) & (x[-1] >= label_odds)
     model.emission, model.move = crf.fit(model.emission, model.move, lambda w: w[:-1] @ x + w[-1],
                                          lambda gap: np.r_[x @ gap, gap.sum()], label, first)
 
@@ -134,12 +131,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", crf_docs: int = 400, crf_bytes: int = 20_000) -> Model:
+          label_col: str = "toxic", crf_docs: int = 400, crf_bytes: int = 20_000, min_toxic: int = 5,
+          label_odds: float = 3.0) -> Model:
     """Learn from the rows of ``labels`` that are not held out, at most ``per_class`` documents of each label.
 
     The chain's weights are fitted on the first ``crf_docs`` of these of each label that have at most ``crf_bytes`` bytes;
-    features and the regression come from all of them. Documents whose label is null, or that the table labels both
-    ways, teach nothing; without both labels, or where no feature is in MIN_TOXIC toxic documents and more frequent in
+    features and the regression come from all of them. A feature counts from ``min_toxic`` toxic documents of the sample on;
+    a token of a toxic document teaches the chain as toxic from log odds of ``label_odds`` on. Documents whose label is null, or that the table labels both
+    ways, teach nothing; without both labels, or where no feature is in ``min_toxic`` toxic documents and more frequent in
     them than in clean ones, the model gives every text the share of toxic labels.
     """
     spark = docs.sparkSession
@@ -180,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str
 
     column = sample.select("text", "toxic")
     feature, n_toxic = table(column.mapInArrow(present, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-                             .where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "f").limit(FEATURES_MAX))
+                             .where(F.col("n") >= min_toxic))
     order = np.argsort(feature)
     feature, n_toxic = feature[order], n_toxic[order]
     n_clean = np.zeros(len(feature))
@@ -201,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, id_col: str
     few = []
     for toxic in (0, 1):
         few += text.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(crf_docs).collect()
-    fit_crf(model, [r["text"] for r in few], np.array([r["toxic"] for r in few]))
+    fit_crf(model, [r["text"] for r in few], np.array([r["toxic"] for r in few]), label_odds)
     shared = spark.sparkContext.broadcast(model)
 
     def describe(batches):

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 docs. All but the last return the columns of ``documents``:
 
 1. ``toxicity`` drops documents that score 0.5 or more (trained on ``labels`` of the stage's documents);
-2. ``line_dedup`` deletes aligned common blocks from later documents (``text`` and ``n_chars`` change);
+2. ``line_dedup`` deletes aligned common blocks from later documents (``text`` and ``n_chars`` change); a document of
+   which this leaves no word is a copy and goes, one that had no word before stays;
 3. ``jaccard_join`` keeps one document of each near-duplicate group;
 4. ``decontamination`` drops documents that hold a window like a ``benchmark`` item;
 5. ``byte_bpe`` returns (doc_id, lang, source, n_chars, n_tokens, ids, text_sha256), the last from the decoded ids.
@@ -39,7 +40,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = line_dedup(docs, keep=tuple(others))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    copied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return found.where(~copied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

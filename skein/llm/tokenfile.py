@@ -25,6 +25,7 @@ import json
 import os
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,52 +153,70 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self):
+        self.known: dict[str, int] = {}
+        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(distinct pieces, which of them stand in all texts one after the other, first of each text and the end)."""
         lists = pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(pc.list_flatten(lists))
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         n = pc.list_value_length(lists).to_numpy()
         first = np.cumsum(n) - n
         opens = np.zeros(len(code), bool)
         opens[first] = True
         # no cut beside other white space: such pieces go together with their neighbours
-        left = np.array([not w or w[0].isspace() for w in words], bool)[code]
-        right = np.array([not w or w[-1].isspace() for w in words], bool)[code]
+        empty = pc.equal(words, "")
+        left = pc.or_(empty, self._space(pc.utf8_slice_codeunits(words, 0, 1))).to_numpy(zero_copy_only=False)[code]
+        right = pc.or_(empty, self._space(pc.utf8_slice_codeunits(words, -1))).to_numpy(zero_copy_only=False)[code]
         joins = ~opens & (left | np.r_[False, right[:-1]])
-        # the first piece of a text has no space before it
-        units = [" " + w for w in words]
-        place = {}
-        which = code.copy()
         start = np.flatnonzero(~joins)
         size = np.diff(np.r_[start, len(code)])
-        for a, k in zip(start[opens[start] | (size > 1)].tolist(), size[opens[start] | (size > 1)].tolist()):
-            unit = ("" if opens[a] else " ") + " ".join([words[c] for c in code[a:a + k].tolist()])
+        # the first piece of a text has no space before it
+        own = opens[start] | (size > 1)
+        which = code[start]
+        which[own] = -1
+        used, which = np.unique(which, return_inverse=True)
+        plain = used[1:] if own.any() else used
+        units = pc.binary_join_element_wise("", words.take(pa.array(plain)), " ").to_pylist()
+        which = which - 1 if own.any() else which
+        place = {}
+        for i, a, k in zip(np.flatnonzero(own).tolist(), start[own].tolist(), size[own].tolist()):
+            unit = ("" if opens[a] else " ") + " ".join(words.take(pa.array(code[a:a + k])).to_pylist())
             at = place.get(unit)
             if at is None:
                 at = place[unit] = len(units)
                 units.append(unit)
-            which[a] = at
-        return units, which[start], np.searchsorted(start, np.r_[first, len(code)])
+            which[i] = at
+        return units, which, np.searchsorted(start, np.r_[first, len(code)])
+
+    @staticmethod
+    def _space(chars: pa.Array) -> pa.Array:
+        """Which characters may be white space to the tokenizer: more of them than it knows do no harm."""
+        return pc.or_(pc.utf8_is_space(chars), pc.match_substring_regex(chars, r"[\x00-\x20\x7F-\xA0\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]"))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text and the end)."""
         units, which, first = self.units(pc.fill_null(texts, ""))
-        used, which = np.unique(which, return_inverse=True)
-        units = [units[u] for u in used.tolist()]
         if len(self.known) > self.KNOWN:
-            self.known = {}
-        new = [u for u in units if u not in self.known]
-        for a in range(0, len(new), 4096):
-            for u, e in zip(new[a:a + 4096], self.tokenizer.encode_batch_fast(new[a:a + 4096], add_special_tokens=False)):
-                self.known[u] = np.array(e.ids, np.uint32)
-        found = [self.known[u] for u in units]
-        size = np.array([len(x) for x in found], np.int64)
-        pool = np.concatenate([np.zeros(0, np.uint32), *found])
-        per = size[which]
-        return pool[expand((np.cumsum(size) - size)[which], per)], np.r_[0, np.cumsum(per)][first]
+            self.forget()
+        at = np.array([self.known.get(u, -1) for u in units], np.int64)
+        new = [units[i] for i in np.flatnonzero(at < 0).tolist()]
+        sizes, pools = [self.size], [self.pool]
+        for a in range(0, len(new), 1 << 14):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[a:a + (1 << 14)], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            pools.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.size, self.pool = np.concatenate(sizes), np.concatenate(pools)
+        begin = np.cumsum(self.size) - self.size
+        seq = at[which]
+        per = self.size[seq]
+        return self.pool[expand(begin[seq], per)], np.r_[0, np.cumsum(per)][first]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = 0, id_col: str = "doc_id",

@@ -54,7 +54,9 @@ class Options:
     min_cluster_size: int = 5
     n_topics: int | None = None     # None: round(sqrt(rows / 2)), at least 2
     kmeans_max_iter: int = 100      # Lloyd steps at most; they stop earlier when no centre moves
-    clustering_method: str = "kmeans"
+    clustering_method: str = "kmeans"               # kmeans | hdbscan (hierarchy) | density (one cut)
+    min_samples: int | None = None                  # hdbscan: neighbour of the core distance; None: min_cluster_size
+    cluster_selection_method: str = "eom"           # hdbscan: eom | leaf
     label_method: str = "hybrid"
     n_terms: int = 10
     n_representatives: int = 3

@@ -47,3 +47,16 @@ def matching(spark, pattern: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return [str(f.getPath()) for f in found or []]
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written as Parquet to the shared scratch folder and read back: cuts the lineage as ``checkpoint()`` does.
+
+    For the state of loops: a checkpoint keeps the estimated size of the plan that made it, which joins multiply from round
+    to round, until planning alone takes minutes and no side looks small enough for a broadcast; a table's size is known.
+    """
+    from .session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

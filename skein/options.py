@@ -36,6 +36,15 @@ class Options:
     fts_pseudo_base: float = 0.1
     fts_pseudo_step: float = 0.05
 
+    # approximate index: fitted on a bounded sample; every row is indexed
+    index_sample: int = 50_000
+    index_sample_bytes: int = 64 << 20
+    index_lists: int | None = None      # None: square root of the rows
+    index_part_dims: int = 4            # dimensions that share one byte of code
+    index_block_rows: int = 100_000
+    index_recall: float = 0.99          # share of true neighbours in the probed lists, measured on the sample
+    index_rerank: int = 20              # candidates re-ranked exactly, times k
+
     # BM25
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
@@ -54,6 +63,8 @@ class Options:
     min_cluster_size: int = 5
     n_topics: int | None = None     # None: round(sqrt(rows / 2)), at least 2
     kmeans_max_iter: int = 100      # Lloyd steps at most; they stop earlier when no centre moves
+    kmeans_sample: int = 50_000     # rows that the centres are fitted on; all rows are assigned
+    kmeans_sample_bytes: int = 128 << 20
     clustering_method: str = "kmeans"               # kmeans | hdbscan (hierarchy) | density (one cut)
     min_samples: int | None = None                  # hdbscan: neighbour of the core distance; None: min_cluster_size
     cluster_selection_method: str = "eom"           # hdbscan: eom | leaf

@@ -58,6 +58,10 @@ class Options:
     n_neighbors: int = 15
     min_dist: float = 0.1
     min_train_rows: int = 10
+    reducer_method: str = "pca"             # pca | neighbours (graph layout)
+    layout_points_per_part: int = 20_000    # points that one task moves at once
+    layout_rounds: int = 16                 # exchanges of places between parts
+    layout_epochs: int = 12                 # epochs between exchanges
 
     # topics
     min_cluster_size: int = 5

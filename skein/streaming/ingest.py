@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.chunks import build_chunk_table
 from ..options import DEFAULTS, Options
 from ..session import scratch_path
+from ..sources.file_index import FileIndex
 from ..sources.store import ChunkStore
 from ..util import ensure_parallel
 
@@ -30,14 +31,18 @@ def to_files(docs: DataFrame) -> DataFrame:
                                 F.lit(".txt")).alias("file_path"), "text")
 
 
-def run_ingest(spark: SparkSession, source: str, schema, store: ChunkStore, opts: Options = DEFAULTS,
+def run_ingest(spark: SparkSession, source: str, schema, store: ChunkStore | FileIndex, opts: Options = DEFAULTS,
                checkpoint: str | None = None, embedder=None, max_files: int | None = None) -> None:
-    """Index everything available under ``source`` into ``store``, then stop."""
+    """Index everything available under ``source`` into ``store``, then stop. A ``FileIndex`` also replaces the chunks of
+    files whose text has changed and skips those it knows."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         files = ensure_parallel(to_files(batch), "file_path")
-        store.add_new(build_chunk_table(files, opts, embedder))
+        if isinstance(store, FileIndex):
+            store.ingest(files, opts, embedder)
+        else:
+            store.add_new(build_chunk_table(files, opts, embedder))
 
     q = (document_stream(spark, source, schema, max_files).writeStream.foreachBatch(each_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

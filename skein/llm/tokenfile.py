@@ -40,8 +40,8 @@ from .blocks import expand, pieces
 
 MAGIC = b"SKTOKEN1"
 SAMPLE = 256
-SEGMENT_BYTES = 8 << 20
-BATCH_BYTES = 2 << 20   # of text that is encoded at once; a longer text is encoded alone
+SEGMENT_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20   # of text that is encoded at once; a longer text is encoded alone
 
 
 @dataclass
@@ -144,9 +144,20 @@ class Encoder:
 
     A byte-level tokenizer begins a new token at a single space between two other characters, whatever stands around; so
     texts are cut there (and nowhere else), the distinct pieces are encoded, and their ids put together by position. What
-    is known of earlier pieces is kept up to ``KNOWN`` pieces, then forgotten.
+    is known of earlier pieces is kept up to ``KNOWN`` pieces, by the next tasks of the worker too, then forgotten. ASCII
+    punctuation at the end of a piece, after a letter, is encoded apart: there a token begins as well.
     """
-    KNOWN = 1 << 19
+    KNOWN = 1 << 18
+    TAIL = r"^(?P<core>.*\pL)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+    last: tuple = ()
+
+    @classmethod
+    def of(cls, tokenizer_json: str, special_as_text: bool) -> Encoder:
+        """The encoder of this worker, made anew for another tokenizer."""
+        key = (hash(tokenizer_json), len(tokenizer_json), special_as_text)
+        if not cls.last or cls.last[0] != key:
+            cls.last = (key, cls(tokenizer_json, special_as_text))
+        return cls.last[1]
 
     def __init__(self, tokenizer_json: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -160,7 +171,7 @@ class Encoder:
         self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct pieces, which of them stand in all texts one after the other, first of each text and the end)."""
+        """(distinct units, which of them stand in all texts one after the other, first of each text and the end)."""
         lists = pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(pc.list_flatten(lists))
         words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
@@ -181,17 +192,35 @@ class Encoder:
         which[own] = -1
         used, which = np.unique(which, return_inverse=True)
         plain = used[1:] if own.any() else used
-        units = pc.binary_join_element_wise("", words.take(pa.array(plain)), " ").to_pylist()
+        words_of = words.take(pa.array(plain))
+        parted = pc.extract_regex(words_of, self.TAIL)
+        whole = pc.is_null(parted)
+        cores = pc.if_else(whole, words_of, pc.struct_field(parted, "core")).dictionary_encode()
+        tails = pc.struct_field(parted, "tail").dictionary_encode()
+        units = pc.binary_join_element_wise("", cores.dictionary, " ").to_pylist()
+        core = cores.indices.to_numpy().astype(np.int64)
+        tail = np.where(whole.to_numpy(zero_copy_only=False), -1,
+                        pc.fill_null(tails.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + len(units))
+        units += tails.dictionary.to_pylist()
         which = which - 1 if own.any() else which
         place = {}
         for i, a, k in zip(np.flatnonzero(own).tolist(), start[own].tolist(), size[own].tolist()):
             unit = ("" if opens[a] else " ") + " ".join(words.take(pa.array(code[a:a + k])).to_pylist())
             at = place.get(unit)
             if at is None:
-                at = place[unit] = len(units)
-                units.append(unit)
+                at = place[unit] = len(plain) + len(place)
             which[i] = at
-        return units, which, np.searchsorted(start, np.r_[first, len(code)])
+        # pieces as one unit or two
+        core = np.r_[core, len(units) + np.arange(len(place))]
+        tail = np.r_[tail, np.full(len(place), -1)]
+        units += place
+        n = 1 + (tail[which] >= 0)
+        at = np.r_[0, np.cumsum(n)]
+        seq = np.empty(at[-1], np.int64)
+        seq[at[:-1]] = core[which]
+        two = n == 2
+        seq[at[:-1][two] + 1] = tail[which[two]]
+        return units, seq, at[np.searchsorted(start, np.r_[first, len(code)])]
 
     @staticmethod
     def _space(chars: pa.Array) -> pa.Array:
@@ -241,7 +270,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
     def segments(batches):
         part, place = TaskContext.get().partitionId(), 0
-        encode = Encoder(own.value, special_as_text)
+        encode = Encoder.of(own.value, special_as_text)
         width = "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         close = np.array([] if end_id is None else [end_id], width)
         doc_ids, sizes, data, filled = [], [], [], 0

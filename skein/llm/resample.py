@@ -174,7 +174,7 @@ WITH crc AS (
 ), grams AS (
   SELECT uid, side, unnest(w) AS g FROM words
   UNION ALL
-  SELECT uid, side, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1
+  SELECT uid, side, p[1] || ' ' || p[2] FROM (SELECT uid, side, unnest(list_zip(w, w[2:])) AS p FROM words) WHERE p[2] IS NOT NULL
 ), known AS (
   SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM grams)
 ), hashed AS (

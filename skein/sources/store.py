@@ -55,7 +55,14 @@ class ChunkStore:
     def add(self, chunks: DataFrame) -> int:
         """Append rows (metadata already JSON); returns their number. No rows are no write; vectors of another
         length than the stored ones, or of several lengths, are refused."""
-        rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields]).checkpoint()
+        return self._append(self._typed(chunks).checkpoint())
+
+    @staticmethod
+    def _typed(chunks: DataFrame) -> DataFrame:
+        return chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK_SCHEMA.fields])
+
+    def _append(self, rows: DataFrame) -> int:
+        """Append checkpointed rows of the store's types."""
         size = F.when(F.size("embedding") > 0, F.size("embedding"))
         new = rows.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("a"), F.max(size).alias("b")).first()
         if not new["n"]:
@@ -73,8 +80,8 @@ class ChunkStore:
 
         The new rows are materialised before the append, so a replayed batch adds nothing."""
         known = self.read().select("id")
-        new = chunks.dropDuplicates(["id"]).join(known, "id", "left_anti").checkpoint()
-        self.add(new)
+        new = self._typed(chunks.dropDuplicates(["id"]).join(known, "id", "left_anti")).checkpoint()
+        self._append(new)
         return new
 
     def update_reduced(self, updates: DataFrame) -> None:

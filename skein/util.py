@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 256 << 20) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows and ``max_bytes`` bytes of texts and arrays.
 
     The check is a bounded count (``limit(max_rows + 1)``): a scan stops after that many rows, but what must run before
     a row comes out (an aggregation, a join) runs in full, so pass derived frames materialised. Beyond the bound the
     frame is returned as is and Spark plans a shuffle join (AQE may still pick a broadcast from runtime sizes, and
     splits skewed partitions).
     """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    wide += [F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0)) * 8 for f in df.schema.fields
+             if isinstance(f.dataType, ArrayType)]
+    size = F.coalesce(F.sum(sum(wide[1:], wide[0]).cast("long")), F.lit(0)) if wide else F.lit(0)
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("size")).first()
+    if row["n"] <= max_rows and row["size"] <= max_bytes:
         return F.broadcast(df), True
     return df, False
 

@@ -11,7 +11,9 @@ CHECK = ["bm25_documents", "rag_answers", "rag_answers_rerank", "knn_embeddings"
          "trim_documents", "html_text", "topic_terms", "topic_coherence", "index_stats", "rag_answers_subqueries",
          "knn_blocked", "bm25_blocked", "knn_cosine", "knn_dot", "knn_dirty", "embedding_quality", "reduce_counts",
          "index_counters", "strip_think", "reducer_staleness", "topic_representatives", "stream_index", "recursive_invariants",
-         "chunk_metadata", "topic_summary_texts", "topic_labels", "rag_answers_direct", "mixed_chunks"]
+         "chunk_metadata", "topic_summary_texts", "topic_labels", "rag_answers_direct", "mixed_chunks",
+         "json_texts", "prompts", "file_kinds", "store_rows", "context_sizes", "reducer_parameters", "reducer_model", "feedback_weights",
+         "topic_phrases", "phrase_labels", "ingest_twice", "knn_index", "kmeans_nearest", "topics_hierarchy", "bm25_index"]
 
 
 @pytest.fixture(scope="module")

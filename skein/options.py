@@ -67,7 +67,7 @@ class Options:
     min_cluster_size: int = 5
     n_topics: int | None = None     # None: round(sqrt(rows / 2)), at least 2
     kmeans_max_iter: int = 100      # Lloyd steps at most; they stop earlier when no centre moves
-    kmeans_sample: int = 50_000     # rows that the centres are fitted on; all rows are assigned
+    kmeans_sample: int = 20_000     # rows that the centres are fitted on; all rows are assigned
     kmeans_sample_bytes: int = 128 << 20
     clustering_method: str = "kmeans"               # kmeans | hdbscan (hierarchy) | density (one cut)
     min_samples: int | None = None                  # hdbscan: neighbour of the core distance; None: min_cluster_size

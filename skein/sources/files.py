@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as tx
+from ..util import small_batches
 
 
 def extension(path) -> Column:
@@ -46,6 +47,7 @@ def extract_text(files: DataFrame) -> DataFrame:
     its visible text (``html_to_text``); formats that need a
     document parser (PDF, Office) yield a null text and an error, which the index job counts (A7).
     """
+    small_batches(files.sparkSession)
     path = F.regexp_replace(F.col("path"), "^file:", "")
     ft = tx.file_type(path)
     raw = F.col("content").cast("string")  # the bytes as they are; checked below

@@ -47,3 +47,19 @@ def test_fixed_windows_sql(spark):
     rows = df.select(fixed_windows(F.col("t"), 100, 20).alias("w")).collect()
     assert [len(x) for x in rows[0]["w"]] == [100, 100, 90]
     assert rows[1]["w"] == [] and rows[2]["w"] == []
+
+
+def test_small_batches(spark):
+    """Texts reach Python in batches of bounded rows and bytes, however many a partition has."""
+    from skein.operators.chunks import chunk_files
+    from skein.options import DEFAULTS
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    files = spark.range(6000).select(F.lit("f").alias("file_path"), F.lit("some words").alias("text"))
+    chunk_files(files, DEFAULTS)
+    sizes = spark.range(6000).coalesce(1).mapInArrow(lambda bs: (b.slice(0, 1).set_column(0, "id", [[b.num_rows]]) for b in bs), "id long")
+    assert max(r.id for r in sizes.collect()) <= 1000
+    spark.conf.set(key, "100")
+    chunk_files(files, DEFAULTS)
+    assert spark.conf.get(key) == "100"  # a smaller setting stays
+    spark.conf.unset(key)

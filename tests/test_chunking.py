@@ -1,5 +1,6 @@
 """H1: the splitter's contract and the reference's chunker cases."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def test_small_batches(spark):
     spark.conf.set(key, "10000")
     files = spark.range(6000).select(F.lit("f").alias("file_path"), F.lit("some words").alias("text"))
     chunk_files(files, DEFAULTS)
-    sizes = spark.range(6000).coalesce(1).mapInArrow(lambda bs: (b.slice(0, 1).set_column(0, "id", [[b.num_rows]]) for b in bs), "id long")
+    sizes = spark.range(6000).coalesce(1).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.num_rows])], ["id"]) for b in bs), "id long")
     assert max(r.id for r in sizes.collect()) <= 1000
     spark.conf.set(key, "100")
     chunk_files(files, DEFAULTS)

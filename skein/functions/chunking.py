@@ -97,7 +97,8 @@ def _recursive_udf(size: int, overlap: int, separators: tuple[str, ...]):
     def chunks(texts: pd.Series) -> pd.Series:
         return pd.Series([[] if not isinstance(t, str) else split_text(t, size, overlap, separators) for t in texts],
                          dtype=object)
-    return chunks
+    # called nondeterministic so that Spark runs it once: what it infers of an exploded column would run it again, as a filter
+    return chunks.asNondeterministic()
 
 
 def recursive_chunks(text, size: int, overlap: int, separators=("\n\n", "\n", ". ", " ", "")) -> Column:

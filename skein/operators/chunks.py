@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunking import chunk_array
+from ..functions.chunking import recursive_chunks
 from ..functions.embedding import HashingEmbedder
 from ..functions.text import basename, file_type, is_blank
 from ..options import DEFAULTS, Options
@@ -27,22 +27,11 @@ def chunk_files(files: DataFrame, opts: Options = DEFAULTS, *, path_col: str = "
     """(id, chunk_text, file_path, chunk_index, total_chunks, chunk_size, metadata) per chunk."""
     small_batches(files.sparkSession)
     src = files.where(~is_blank(F.col(text_col)))
-    if tuple(opts.separators) in ((), ("",)):
-        # Fixed windows: explode the window numbers, then cut each window in a plain (code-generated) projection.
-        size, step = opts.chunk_size, max(opts.chunk_size - opts.chunk_overlap, 1)
-        n = F.lit(1) + F.ceil(F.greatest(F.length(text_col) - F.lit(size), F.lit(0)) / F.lit(step)).cast("int")
-        win = src.select(F.col(path_col).alias("file_path"), F.col(text_col).alias("_t"), n.alias("total_chunks"))
-        win = win.select("file_path", "_t", "total_chunks",
-                         F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)).alias("_i"))
-        rows = win.select("file_path", "total_chunks", F.col("_i").cast("long").alias("chunk_index"),
-                          F.substring(F.col("_t"), F.col("_i") * step + 1, F.lit(size)).alias("chunk_text"))
-    else:
-        arr = src.select(F.col(path_col).alias("file_path"),
-                         chunk_array(F.col(text_col), opts.chunk_size, opts.chunk_overlap, opts.separators)
-                         .alias("_c"))
-        rows = arr.select("file_path", F.size("_c").alias("total_chunks"),
-                          F.posexplode("_c").alias("_i", "chunk_text"))
-        rows = rows.withColumn("chunk_index", F.col("_i").cast("long")).drop("_i")
+    # cut in one pass over a text, with separators or without: a window cut by ``substring`` walks there from the text's start
+    arr = src.select(F.col(path_col).alias("file_path"),
+                     recursive_chunks(F.col(text_col), opts.chunk_size, opts.chunk_overlap, opts.separators).alias("_c"))
+    rows = arr.select("file_path", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("_i", "chunk_text"))
+    rows = rows.withColumn("chunk_index", F.col("_i").cast("long")).drop("_i")
     meta_fields = [F.col("file_path"), basename(F.col("file_path")).alias("file_name"),
                    file_type(F.col("file_path")).alias("file_type"), F.col("chunk_index"),
                    F.col("total_chunks").cast("long").alias("total_chunks"),

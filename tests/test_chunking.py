@@ -1,6 +1,7 @@
 """H1: the splitter's contract and the reference's chunker cases."""
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,3 +65,32 @@ def test_small_batches(spark):
     chunk_files(files, DEFAULTS)
     assert spark.conf.get(key) == "100"  # a smaller setting stays
     spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("separators", [("",), (". ", " ", "")])
+def test_texts_are_cut_and_embedded_once(spark, separators):
+    """No filter runs the splitter or the embedder a second time."""
+    from skein.operators.chunks import build_chunk_table
+    from skein.options import DEFAULTS
+    files = spark.createDataFrame([("/a", "some words. " * 200), ("/b", "... "), ("/c", None)], "file_path string, text string")
+    table = build_chunk_table(files, DEFAULTS.with_(separators=separators))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    assert {r["file_path"] for r in table.select("file_path", "embedding").collect()} == {"/a"}
+
+
+def test_hashed_vectors(spark):
+    """Words by their md5, whatever batch they stand in; none for texts without a word or whose words cancel out."""
+    import hashlib
+    import numpy as np
+    from pyspark.sql import functions as F
+    from skein.functions.embedding import HashingEmbedder
+    texts = ["Word two, two \u00c9t\u00e9 \u65e5\u672c", "!!", "", None, " x "]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(HashingEmbedder(16).embed(F.col("t"))).collect()]
+    for text, vec in ((["word", "two", "two", "\u00e9t\u00e9", "\u65e5\u672c"], got[0]), (["x"], got[4])):
+        want = np.zeros(16)
+        for w in text:
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 16] += 1 - 2 * (int(h[8], 16) & 1)
+        assert np.allclose(vec, want / np.linalg.norm(want))
+    assert got[1] is None and got[2] is None and got[3] is None

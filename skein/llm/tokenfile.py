@@ -197,7 +197,7 @@ class Encoder:
         whole = pc.is_null(parted)
         cores = pc.if_else(whole, words_of, pc.struct_field(parted, "core")).dictionary_encode()
         tails = pc.struct_field(parted, "tail").dictionary_encode()
-        units = pc.binary_join_element_wise("", cores.dictionary, " ").to_pylist()
+        units = pc.binary_join_element_wise("", cores.dictionary, " ").to_numpy(zero_copy_only=False).tolist()
         core = cores.indices.to_numpy().astype(np.int64)
         tail = np.where(whole.to_numpy(zero_copy_only=False), -1,
                         pc.fill_null(tails.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + len(units))

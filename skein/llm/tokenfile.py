@@ -25,7 +25,7 @@ import json
 import os
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,11 +144,15 @@ class Encoder:
 
     A byte-level tokenizer begins a new token at a single space between two other characters, whatever stands around; so
     texts are cut there (and nowhere else), the distinct pieces are encoded, and their ids put together by position. What
-    is known of earlier pieces is kept up to ``KNOWN`` pieces, by the next tasks of the worker too, then forgotten. ASCII
-    punctuation at the end of a piece, after a letter, is encoded apart: there a token begins as well.
+    is known of earlier pieces is kept up to ``KNOWN`` pieces or ``CHARS`` characters, by the next tasks of the worker too,
+    then forgotten. ASCII punctuation at the end of a piece, after a letter, is encoded apart: there a token begins as well.
+    New words go to the library in runs of ``RUN``, each run one text; the tokens that begin with a space tell them apart.
     """
-    KNOWN = 1 << 18
+    KNOWN = 1 << 19
+    CHARS = 1 << 23
+    RUN = 64
     TAIL = r"^(?P<core>.*\pL)(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+    MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))  # the bytes of a tail
     last: tuple = ()
 
     @classmethod
@@ -164,88 +168,149 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = special_as_text
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.forget()
 
     def forget(self):
         self.known: dict[str, int] = {}
-        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.chars = 0
+        self.end, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # of each known piece; room for more behind
 
-    def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct units, which of them stand in all texts one after the other, first of each text and the end)."""
+    def units(self, texts: pa.Array) -> tuple[list[str], int, np.ndarray, np.ndarray]:
+        """(distinct units, how many of them, the first ones, are a space and a word without white space around, which of
+        them stand in all texts one after the other, first of each text and the end)."""
         lists = pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(pc.list_flatten(lists))
-        words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        n = pc.list_value_length(lists).to_numpy()
+        words, code = coded.dictionary, coded.indices.to_numpy()
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
         first = np.cumsum(n) - n
         opens = np.zeros(len(code), bool)
         opens[first] = True
         # no cut beside other white space: such pieces go together with their neighbours
-        empty = pc.equal(words, "")
-        left = pc.or_(empty, self._space(pc.utf8_slice_codeunits(words, 0, 1))).to_numpy(zero_copy_only=False)[code]
-        right = pc.or_(empty, self._space(pc.utf8_slice_codeunits(words, -1))).to_numpy(zero_copy_only=False)[code]
-        joins = ~opens & (left | np.r_[False, right[:-1]])
+        initial, final = self._ends(words)
+        left = self._spaces(words, initial, 0, 1)
+        right = self._spaces(words, final, -1)
+        ends = right[code]
+        joins = ~opens & (left[code] | np.r_[False, ends[:-1]])
         start = np.flatnonzero(~joins)
         size = np.diff(np.r_[start, len(code)])
         # the first piece of a text has no space before it
-        own = opens[start] | (size > 1)
-        which = code[start]
-        which[own] = -1
-        used, which = np.unique(which, return_inverse=True)
-        plain = used[1:] if own.any() else used
-        words_of = words.take(pa.array(plain))
-        parted = pc.extract_regex(words_of, self.TAIL)
-        whole = pc.is_null(parted)
-        cores = pc.if_else(whole, words_of, pc.struct_field(parted, "core")).dictionary_encode()
+        own = opens[start] | (size > 1) | ends[start]
+        which = code[start].astype(np.int64)
+        used = np.zeros(len(words), bool)
+        used[which[~own]] = True
+        place_of = np.cumsum(used) - 1
+        which = place_of[which]
+        used = np.flatnonzero(used)
+        words_of = words.take(pa.array(used))
+        # pieces as one unit or two
+        ending = np.flatnonzero(self.MARK[final[used]])
+        parted = pc.extract_regex(words_of.take(pa.array(ending)), self.TAIL)
+        two = parted.is_valid().to_numpy(zero_copy_only=False)
+        ending, parted = ending[two], parted.filter(pa.array(two))
+        mask = np.zeros(len(used), bool)
+        mask[ending] = True
+        cores = pc.replace_with_mask(words_of, pa.array(mask), pc.struct_field(parted, "core")).dictionary_encode()
         tails = pc.struct_field(parted, "tail").dictionary_encode()
         units = pc.binary_join_element_wise("", cores.dictionary, " ").to_numpy(zero_copy_only=False).tolist()
-        core = cores.indices.to_numpy().astype(np.int64)
-        tail = np.where(whole.to_numpy(zero_copy_only=False), -1,
-                        pc.fill_null(tails.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + len(units))
+        n_words = len(units)
+        core, tail = cores.indices.to_numpy().astype(np.int64), np.full(len(used), -1)
+        tail[ending] = tails.indices.to_numpy().astype(np.int64) + n_words
         units += tails.dictionary.to_pylist()
-        which = which - 1 if own.any() else which
         place = {}
         for i, a, k in zip(np.flatnonzero(own).tolist(), start[own].tolist(), size[own].tolist()):
             unit = ("" if opens[a] else " ") + " ".join(words.take(pa.array(code[a:a + k])).to_pylist())
             at = place.get(unit)
             if at is None:
-                at = place[unit] = len(plain) + len(place)
+                at = place[unit] = len(used) + len(place)
             which[i] = at
-        # pieces as one unit or two
         core = np.r_[core, len(units) + np.arange(len(place))]
         tail = np.r_[tail, np.full(len(place), -1)]
         units += place
-        n = 1 + (tail[which] >= 0)
-        at = np.r_[0, np.cumsum(n)]
+        second = tail[which]
+        at = np.r_[0, np.cumsum(1 + (second >= 0))]
         seq = np.empty(at[-1], np.int64)
         seq[at[:-1]] = core[which]
-        two = n == 2
-        seq[at[:-1][two] + 1] = tail[which[two]]
-        return units, seq, at[np.searchsorted(start, np.r_[first, len(code)])]
+        two = second >= 0
+        seq[at[:-1][two] + 1] = second[two]
+        return units, n_words, seq, at[np.searchsorted(start, np.r_[first, len(code)])]
+
+    @staticmethod
+    def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last byte of each word, 32 for an empty one."""
+        if not len(words):
+            return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        words = words.cast(pa.large_binary())
+        _, offsets, data = words.buffers()
+        at = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        empty = at[1:] == at[:-1]
+        return (np.where(empty, 32, data[np.minimum(at[:-1], len(data) - 1)]),
+                np.where(empty, 32, data[np.maximum(at[1:] - 1, 0)]))
+
+    def _spaces(self, words: pa.Array, byte: np.ndarray, *cut: int) -> np.ndarray:
+        """Which words have, at the end where ``byte`` stands and ``cut`` takes the character, white space or nothing."""
+        out = (byte <= 32) | (byte == 127)
+        wide = np.flatnonzero(byte > 127)
+        out[wide] = self._space(pc.utf8_slice_codeunits(words.take(pa.array(wide)), *cut)).to_numpy(zero_copy_only=False)
+        return out
 
     @staticmethod
     def _space(chars: pa.Array) -> pa.Array:
         """Which characters may be white space to the tokenizer: more of them than it knows do no harm."""
         return pc.or_(pc.utf8_is_space(chars), pc.match_substring_regex(chars, r"[\x00-\x20\x7F-\xA0\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]"))
 
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids), by the library."""
+        sizes, pools = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for a in range(0, len(texts), 1 << 8):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:a + (1 << 8)], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            pools.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(pools)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that are a space and a word each."""
+        firsts = np.arange(0, len(words), self.RUN)
+        sizes, ids = self._library(["".join(words[a:a + self.RUN]) for a in firsts.tolist()])
+        begins = np.flatnonzero(self.spaced[ids])
+        per_run = np.diff(np.searchsorted(begins, np.r_[0, np.cumsum(sizes)]))
+        if not np.array_equal(per_run, np.diff(np.r_[firsts, len(words)])) or (len(ids) and not self.spaced[ids[0]]):
+            return self._library(words)  # the vocabulary has no space, or a special token takes it
+        return np.diff(np.r_[begins, len(ids)]), ids
+
+    def _learn(self, words: list[str], rest: list[str]) -> None:
+        """Encode new pieces, ``words`` being a space and a word each."""
+        n = len(self.known)
+        self.chars += sum(map(len, words)) + sum(map(len, rest))
+        self.known.update(zip(chain(words, rest), range(n, n + len(words) + len(rest))))
+        for sizes, ids in (self._words(words), self._library(rest)):
+            used, n_after = int(self.end[n]), n + len(sizes)
+            if n_after >= len(self.end):
+                self.end = np.r_[self.end[:n + 1], np.empty(max(n, len(sizes)), np.int64)]
+            if used + len(ids) > len(self.pool):
+                self.pool = np.r_[self.pool[:used], np.empty(max(used, len(ids)), np.uint32)]
+            self.end[n + 1:n_after + 1] = used + np.cumsum(sizes)
+            self.pool[used:used + len(ids)] = ids
+            n = n_after
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text and the end)."""
-        units, which, first = self.units(pc.fill_null(texts, ""))
-        if len(self.known) > self.KNOWN:
+        units, n_words, which, first = self.units(pc.fill_null(texts, ""))
+        if len(self.known) > self.KNOWN or self.chars > self.CHARS:
             self.forget()
-        at = np.array([self.known.get(u, -1) for u in units], np.int64)
-        new = [units[i] for i in np.flatnonzero(at < 0).tolist()]
-        sizes, pools = [self.size], [self.pool]
-        for a in range(0, len(new), 1 << 14):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[a:a + (1 << 14)], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            pools.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
-        at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.size, self.pool = np.concatenate(sizes), np.concatenate(pools)
-        begin = np.cumsum(self.size) - self.size
+        n = len(self.known)
+        at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(at < 0)
+        at[new] = n + np.arange(len(new))
+        k = int(np.searchsorted(new, n_words))
+        self._learn([units[i] for i in new[:k].tolist()], [units[i] for i in new[k:].tolist()])
         seq = at[which]
-        per = self.size[seq]
-        return self.pool[expand(begin[seq], per)], np.r_[0, np.cumsum(per)][first]
+        begin = self.end[seq]
+        per = self.end[seq + 1] - begin
+        return self.pool[expand(begin, per)], np.r_[0, np.cumsum(per)][first]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = 0, id_col: str = "doc_id",

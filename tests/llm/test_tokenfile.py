@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from skein.llm import tokenfile
 from skein.llm.tokenfile import EliasFano, Segment, read_token_files, token_files
@@ -86,6 +86,55 @@ def test_cuts(monkeypatch):
             tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+def test_new_words_in_runs():
+    """Words go to the library in runs, with the ids that each text has alone."""
+    r = random.Random(2)
+    with open(PATH, encoding="utf-8") as f:
+        encode = tokenfile.Encoder(f.read())
+    tokenizer, encode.tokenizer = encode.tokenizer, Counting(encode.tokenizer)
+    odd = ["'s", "x'", "'ll!", "<|endoftext|>", "a\nb", "a\n", "\ta", "Ġ", "ĠaĠ", "é.", "日本,", "٣4", "_", "--", "a\u00a0b", "\u00a0"]
+    words = ["".join(r.choices("abcdeéô日", k=r.randrange(3, 9))) + r.choice(["", "", "'", ".", "),", "1"]) for _ in range(9000)]
+    texts = ["x " + " ".join(words[a:a + 900] + r.sample(odd, 9)) for a in range(0, 9000, 900)] + ["ends so\n", "a \n", "\n a", ""]
+    ids, at = encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode.tokenizer.texts < 600
+    assert [len(x) for x in encode(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_vocabulary_without_space():
+    """No token tells where a word begins, so that words are encoded one by one."""
+    tiny = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "ab": 2}, merges=[("a", "b")]))
+    tiny.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    encode = tokenfile.Encoder(tiny.to_str())
+    texts = ["ab a b abab", "b c ab", "c", "ab ab"]
+    ids, at = encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tiny.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_pieces_are_forgotten(monkeypatch):
+    """What is known of earlier pieces is bounded in characters, not only in number."""
+    monkeypatch.setattr(tokenfile.Encoder, "CHARS", 5000)
+    with open(PATH, encoding="utf-8") as f:
+        encode = tokenfile.Encoder(f.read())
+    for i in range(30):
+        text = f"{i}-" + "ab" * 1000
+        ids, _ = encode(pa.array([text]))
+        assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, encode.known)) <= 5000 + len(text)
+
+
 def test_long_text(spark):
     docs = [(1, "word " * 600_000), (2, "a" * 5000), (3, "tail"), (4, " " * 3000 + "x  " * 2000)]
     assert sorted(run(spark, docs)[0]) == brute(docs)
